@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marsad.llm import quality_forest, secret_scan, url_filter
+from marsad.llm import quality_forest, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_url_filter": url_filter.op2_url_filter,
     "op6_quality_forest": quality_forest.op6_quality_forest,
+    "op7_simhash": simhash.op7_simhash,
 }
 SQL = {"op2_url_filter": url_filter.OP2_SQL}
