@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from marsad.llm import quality_forest, secret_scan, simhash, url_filter
+from marsad.llm import bpe, packing, quality_forest, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_quality_forest": quality_forest.op6_quality_forest,
     "op7_simhash": simhash.op7_simhash,
+    "op8_retrieval_packing": packing.op8_retrieval_packing,
+    "op10_token_output": packing.op10_token_output,
 }
 SQL = {"op2_url_filter": url_filter.OP2_SQL}
