@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marsad.llm import bpe, packing, quality_forest, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
+from marsad.llm import ann_forest, bpe, packing, quality_forest, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_forest": quality_forest.op6_quality_forest,
     "op7_simhash": simhash.op7_simhash,
     "op8_retrieval_packing": packing.op8_retrieval_packing,
+    "op9_ann_forest": ann_forest.op9_ann_forest,
     "op10_token_output": packing.op10_token_output,
 }
 SQL = {"op2_url_filter": url_filter.OP2_SQL}
