@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marsad.llm.common import table
 
+STOPS = (b".", b",", b"!", b"?", b";", b":")
 #: Pieces kept per worker: two generations of this many.
 REMEMBERED = 250_000
 
@@ -87,7 +88,10 @@ class Automaton:
             if uv not in self.parts and self._arc(u, v, r):
                 self.parts[uv] = (u, v, r)
                 known(a + b, uv)
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        #: How long a label inside a word can be that begins with these four bytes.
+        self.reach: dict[bytes, int] = {}
+        for label in self.inner:
+            self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 3))
         self.arcs: dict[int, bool] = {}
 
     def _edge(self, x: int, side: int, seen: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -118,38 +122,48 @@ class Automaton:
         Longer labels are tried first. A prefix has one path at most, so an end that was reached
         once and led nowhere is never tried again.
         """
-        n, inner, arcs = len(w), self.inner, self.arcs
-        t = self.final.get(w)
+        final, inner, arcs, reach = self.final.get, self.inner.get, self.arcs.get, self.reach.get
+        t = final(w)
         if t is not None:
             return [t]
+        n, at, last = len(w), 0, -1
         out: list[int] = []
         ends, seen, top = [0], bytearray(n + 1), n
         while True:
-            at = ends[-1]
-            for end in range(min(top, at + self.longest), at, -1):
-                t = inner.get(w[at:end]) if end < n else self.final.get(w[at:])
+            if top == n:
+                t = final(w[at:])
+                if t is not None and (last < 0 or self.joint(last << 20 | t)):
+                    out.append(t)
+                    return out
+                top -= 1
+            for end in range(min(top, at + reach(w[at : at + 4], 3)), at, -1):
+                t = inner(w[at:end])
                 if t is None or seen[end]:
                     continue
-                if out:
-                    pair = out[-1] << 20 | t
-                    ok = arcs.get(pair)
+                if last >= 0:
+                    ok = arcs(last << 20 | t)
                     if ok is None:
-                        if len(arcs) > 2_000_000:
-                            arcs.clear()
-                        ok = arcs[pair] = self._arc(out[-1], t)
+                        ok = self.joint(last << 20 | t)
                     if not ok:
                         continue
+                out.append(t)
+                seen[end] = 1
+                ends.append(end)
+                at, last, top = end, t, n
                 break
             else:
                 out.pop()
                 top = ends.pop() - 1
-                continue
-            out.append(t)
-            if end == n:
-                return out
-            seen[end] = 1
-            ends.append(end)
-            top = n
+                at, last = ends[-1], out[-1] if out else -1
+
+    def joint(self, pair: int) -> bool:
+        """Whether the arc of a pair is there, looked up or worked out."""
+        ok = self.arcs.get(pair)
+        if ok is None:
+            if len(self.arcs) > 2_000_000:
+                self.arcs.clear()
+            ok = self.arcs[pair] = self._arc(pair >> 20, pair & 0xFFFFF)
+        return ok
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of a piece of text without ASCII white space."""
@@ -161,7 +175,7 @@ class Automaton:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        if text.isalpha() and text.isascii():  # a word as it is, but for case
+        if text.isalpha() and max(text) < "\u0130":  # Latin: composed already, and one word
             return self.word(text.lower().encode())
         return [i for w in self.words(self.normal(text)) for i in self.word(w.encode())] if text else []
 
@@ -180,7 +194,17 @@ class Encoder(dict):
     def __missing__(self, raw: bytes) -> bytes:
         out = self.old.get(raw)
         if out is None:
-            out = pack(f"<{len(ids := self.automaton.piece(raw))}I", *ids)
+            # Case and one stop at the end make most of the variants of a word: they are put together
+            # from parts instead of being worked out and kept.
+            if len(raw) > 1 and raw[-1:] in STOPS and raw[:-1].isalpha():
+                return self[raw[:-1]] + self[raw[-1:]]
+            if raw.isalpha():
+                if (low := raw.lower()) != raw:
+                    return self[low]
+                ids = self.automaton.word(raw)
+            else:
+                ids = self.automaton.piece(raw)
+            out = pack(f"<{len(ids)}I", *ids)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
