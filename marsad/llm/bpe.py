@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -32,7 +33,7 @@ from marsad.llm.common import table
 
 STOPS = (b".", b",", b"!", b"?", b";", b":")
 #: Pieces kept per worker: two generations of this many.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -184,38 +185,160 @@ class Automaton:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+_ASCII = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
+
+
+def parts_of(raw: bytes) -> list[bytes] | None:
+    """Words in lower case, digits and runs of marks whose ids make up the piece's; None: not so simple."""
+    if raw.isalpha():
+        return [raw.lower()]
+    if raw.isascii():
+        return None if b"'" in raw or b"<" in raw else [x.lower() for x in _ASCII(raw)]
+    stop = len(raw) > 1 and raw[-1:] in STOPS
+    text = (raw[:-1] if stop else raw).decode("utf-8", "replace")
+    if text.isalpha() and max(text) < "\u0130":  # Latin: composed already, and one word in lower case too
+        return [text.lower().encode(), raw[-1:]] if stop else [text.lower().encode()]
+    return None
+
+
 class Encoder(dict):
-    """Piece -> little-endian unsigned 32-bit ids; two generations bound its size."""
+    """Piece -> little-endian unsigned 32-bit ids; two generations bound its size.
+
+    Case and marks make most of the variants of a word; they are put together from parts.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.automaton, self.old = Automaton(path), {}
+        self.merger: Merger | None = None
 
     def __missing__(self, raw: bytes) -> bytes:
         out = self.old.get(raw)
         if out is None:
-            # Case and one stop at the end make most of the variants of a word: they are put together
-            # from parts instead of being worked out and kept.
-            if len(raw) > 1 and raw[-1:] in STOPS and raw[:-1].isalpha():
-                return self[raw[:-1]] + self[raw[-1:]]
-            if raw.isalpha():
-                if (low := raw.lower()) != raw:
-                    return self[low]
-                ids = self.automaton.word(raw)
-            else:
-                ids = self.automaton.piece(raw)
+            parts = parts_of(raw)
+            if parts and (len(parts) > 1 or parts[0] != raw):
+                return b"".join([self[x] for x in parts])
+            ids = self.automaton.word(raw) if parts and (raw.isalpha() or not raw.isascii()) else self.automaton.piece(raw)
             out = pack(f"<{len(ids)}I", *ids)
         if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
+            self._turn()
         if len(raw) < 200:
             self[raw] = out
         return out
 
+    def _turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
     def ids(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "surrogatepass")
         return b"".join(map(self.__getitem__, raw.split()))
 
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """As ``ids`` of each; words that are new are merged together, which costs less per word."""
+        pieces = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        old = self.old
+        parts = {p: parts_of(p) for p in {p for some in pieces for p in some if p not in self} if p not in old}
+        words = {w for some in parts.values() if some for w in some if (w.isalpha() or not w.isascii()) and len(w) < 64}
+        words = [w for w in words if w not in self and w not in old]
+        if len(self) + len(parts) + len(words) > REMEMBERED:
+            self._turn()
+        if self.merger is None:
+            self.merger = Merger(self.automaton)
+        for i in range(0, len(words), REMEMBERED):
+            self.update(self.merger.encode(words[i : i + REMEMBERED]))
+        for p, some in parts.items():
+            if some and len(p) < 64 and p not in self:
+                self[p] = b"".join([self[x] for x in some]) if some != [p] else self.__missing__(p)
+        for some in pieces:
+            yield b"".join(map(self.__getitem__, some))
+
+
+class Merger:
+    """Plain BPE over many words at once: each round makes one merge in every word that has one left."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, a: Automaton):
+        self.inner = np.array([a.inner[bytes([b])] for b in range(256)], np.int32)
+        self.final = np.array([a.final[bytes([b])] for b in range(256)], np.int32)
+        made = {(u, v): t for t, (u, v, _) in a.parts.items()}
+        pairs = sorted((u << 20 | v, r, made[u, v]) for u, v, r in ((k >> 20, k & 0xFFFFF, r) for k, r in a.rank.items()) if (u, v) in made)
+        # A table that a pair's hash points into, wide enough for short probes.
+        self.bits = 19
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks, self.results = np.full(1 << self.bits, self.NONE), np.zeros(1 << self.bits, np.int32)
+        self.probes = 1
+        for key, r, t in pairs:
+            at, n = int(self._slot(np.array([key]))[0]), 1
+            while self.keys[at] >= 0:
+                at, n = (at + 1) & ((1 << self.bits) - 1), n + 1
+            self.keys[at], self.ranks[at], self.results[at], self.probes = key, r, t, max(n, self.probes)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged token) of pairs; NONE where there is no merge."""
+        key = u.astype(np.int64) << 20 | v
+        at = self._slot(key)
+        rank = np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+        token = self.results[at]
+        left = np.flatnonzero((rank == self.NONE) & (self.keys[at] >= 0))
+        for _ in range(1, self.probes):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            hit = left[self.keys[at[left]] == key[left]]
+            rank[hit], token[hit] = self.ranks[at[hit]], self.results[at[hit]]
+            left = left[(self.keys[at[left]] >= 0) & (self.keys[at[left]] != key[left])]
+        return rank, token
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        words = sorted(words, key=len)
+        at = 0
+        while at < len(words):
+            n, end = len(words[at]), at
+            while end < len(words) and len(words[end]) == n and end - at < 1 << 14:
+                end += 1
+            some = words[at:end]
+            yield from zip(some, self._same_length(some, n), strict=True)
+            at = end
+
+    def _same_length(self, words: list[bytes], n: int) -> Iterator[bytes]:
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
+        t = np.concatenate((self.inner[raw[:, :-1]], self.final[raw[:, -1:]]), 1)
+        size = np.full(len(words), n)
+        open_ = np.arange(len(words))
+        done = t.copy()
+        rank, token = (x.reshape(len(words), n - 1) for x in self.find(t[:, :-1].ravel(), t[:, 1:].ravel()))
+        while n > 1 and len(open_):
+            rows = np.arange(len(open_))
+            j = rank.argmin(1)  # the first of equal ones
+            more = rank[rows, j] < self.NONE
+            if not more.all():
+                done[open_[~more]] = t[~more]
+                open_, t, rank, token, j = open_[more], t[more], rank[more], token[more], j[more]
+                rows = rows[: len(open_)]
+            if not len(open_):
+                break
+            t[rows, j] = token[rows, j]
+            size[open_] -= 1
+            # Close the gap: what stands right of the merged pair moves left.
+            for r in (1, 0):  # pairs lose place j, tokens place j + 1
+                x = t if r else rank
+                shift = np.arange(x.shape[1] - 1) >= (j + r)[:, None]
+                x[:, :-1] = np.where(shift, x[:, 1:], x[:, :-1])
+            shift = np.arange(token.shape[1] - 1) >= j[:, None]
+            token[:, :-1] = np.where(shift, token[:, 1:], token[:, :-1])
+            rank[:, -1] = self.NONE
+            for k in (j - 1, j):
+                ok = np.flatnonzero((k >= 0) & (k + 1 < size[open_]))
+                rank[ok, k[ok]], token[ok, k[ok]] = self.find(t[ok, k[ok]], t[ok, k[ok] + 1])
+        flat = done.astype("<u4").tobytes()
+        for i, m in enumerate(size.tolist()):
+            yield flat[4 * i * n : 4 * (i * n + m)]
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:

@@ -45,9 +45,9 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, docs: int, ids: int = S
     """(doc ids, their token ids with the final one as bytes) of one shard after another."""
     e, names, held, size = encoder(path), [], [], 0
     for batch in batches:
-        for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for name, found in zip(batch.column("doc_id").to_pylist(), e.many(batch.column("text").to_pylist()), strict=True):
             names.append(name)
-            held.append(e.ids(text) + _END)
+            held.append(found + _END)
             size += len(held[-1]) // 4
             if len(held) >= docs or size >= ids:
                 yield names, held
