@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marsad.llm.common import table
 
+#: Characters of text whose new words are merged together.
+TOGETHER = 1 << 21
 STOPS = (b".", b",", b"!", b"?", b";", b":")
 #: Pieces kept per worker: two generations of this many.
 REMEMBERED = 500_000
@@ -235,10 +237,21 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        """As ``ids`` of each; words that are new are merged together, which costs less per word."""
+        """As ``ids`` of each; words that are new are merged together, which costs less per word.
+
+        Some ``TOGETHER`` characters at a time, so that their pieces stay in the processor's cache.
+        """
+        begin = size = 0
+        for end, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size >= TOGETHER or end == len(texts):
+                yield from self._some(texts[begin:end])
+                begin, size = end, 0
+
+    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
         pieces = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         old = self.old
-        parts = {p: parts_of(p) for p in {p for some in pieces for p in some if p not in self} if p not in old}
+        parts = {p: parts_of(p) for p in set().union(*pieces) if p not in self and p not in old}
         words = {w for some in parts.values() if some for w in some if (w.isalpha() or not w.isascii()) and len(w) < 64}
         words = [w for w in words if w not in self and w not in old]
         if len(self) + len(parts) + len(words) > REMEMBERED:
