@@ -38,6 +38,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 HOT = 4096
 #: Groups up to so many nodes are compared as lists of pairs, larger ones node by node.
 FEW = 24
+#: Parts that nodes with one target are spread over.
+SALTS = 16
 _CHUNK = 1 << 15
 
 
@@ -207,8 +209,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label, both.y == label.fp).groupBy("x").agg(F.min("comp").alias("near"))
         step = label.join(near, label.fp == near.x, "left").select("fp", "comp", F.least("comp", "near").alias("next"))
-        up = step.select(F.col("fp").alias("up"), F.col("next").alias("far"))
-        step = materialise(step.join(up, step.next == up.up, "left").select("fp", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("moved")), "label")
+        # Pointer jumping. Many nodes may share one target: targets are few, so they are spread over salts.
+        targets = step.select(F.col("next").alias("up")).distinct()
+        up = step.join(targets, step.fp == targets.up, "left_semi").select(F.col("fp").alias("up"), F.col("next").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        step = materialise(step.join(up, (step.next == up.up) & (step.salt == up.s), "left").select("fp", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("moved")), "label")
         label = step.select("fp", "comp")
         if step.filter("moved").isEmpty():
             return label
