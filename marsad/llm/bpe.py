@@ -29,13 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marsad.llm.common import table
+from marsad.llm.common import small, table
 
 #: Characters of text whose new words are merged together.
 TOGETHER = 1 << 21
 STOPS = (b".", b",", b"!", b"?", b";", b":")
 #: Pieces kept per worker: two generations of this many.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -364,7 +364,7 @@ def codec(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.frombuffer(e.ids(text), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([e.automaton.decode(ids.tolist())])], ["doc_id", "ids", "decoded"])
@@ -379,7 +379,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         labels, sha = e.automaton.labels, hashlib.sha256
         label_of, name_of = [x.encode() for x in labels], [b"%d" % i for i in range(len(labels))]
-        for batch in batches:
+        for batch in small(batches):
             n, a, b = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.frombuffer(e.ids(text), "<u4").tolist()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from marsad.llm.bpe import encoder, vocabulary_path
-from marsad.llm.common import table
+from marsad.llm.common import small, table
 
 LENGTH, END = 2048, 1
 SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
@@ -44,7 +44,7 @@ Piece = tuple[int, int, int, int, int]
 def shards(batches: Iterator[pa.RecordBatch], path: str, docs: int, ids: int = SHARD_IDS) -> Iterator[tuple[list, list[bytes]]]:
     """(doc ids, their token ids with the final one as bytes) of one shard after another."""
     e, names, held, size = encoder(path), [], [], 0
-    for batch in batches:
+    for batch in small(batches):
         for name, found in zip(batch.column("doc_id").to_pylist(), e.many(batch.column("text").to_pylist()), strict=True):
             names.append(name)
             held.append(found + _END)
@@ -279,7 +279,7 @@ def matrix_pieces(packed: DataFrame) -> DataFrame:
     """One row per piece of ``matrices``, with checksums taken from the packed ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(9)]
             for row in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "n_ids", "ids", "cu_seqlens", "positions", "doc_ids", "starts", "doc_tokens")), strict=True):
                 sequence, n, ids, ends, places, names, starts, sizes = row

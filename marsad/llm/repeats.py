@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marsad.llm.common import discard, materialise
+from marsad.llm.common import discard, materialise, small
 
 PACK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 8 << 20, 24
 LAST = np.int64(2**63 - 1)
@@ -81,7 +81,7 @@ def make_packs(docs: DataFrame, label: str) -> DataFrame:
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["pack", "n_bytes", "ids", "sizes", "raw", "extra"])
 
-        for batch in batches:
+        for batch in small(batches):
             others = batch.select(rest) if rest else None
             for n, (i, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -214,7 +214,7 @@ def repeated_anchors(packs: DataFrame, shards: int, symbols: Callable[[Pack], tu
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             for row in batch.to_pylist():
                 p = load(row)
                 runs = find_runs(*symbols(p), length, k)
