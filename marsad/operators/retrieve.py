@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marsad.functions import lexicon as L
+from marsad.functions.pin import pinned
 from marsad.functions.text import WORD_AFTER, WORD_BEFORE, normalize_terms, terms
 from marsad.operators.chunks import reference_penalty
 from marsad.operators.index import bm25, dense_top_k, top_k
@@ -82,8 +83,8 @@ def retrieve(
     Blank questions and empty corpora give no rows. Candidates of both lists are cut by windows
     before chunk texts join, so features are worked out for candidates only.
     """
-    q = questions.filter(F.trim("question") != "").withColumn("info", analyze(F.col("question"), lex))
-    q = q.withColumn("variants", variants(F.col("question"), F.col("info.intents"), lex)).withColumn("q_terms", expanded_terms(F.col("info.key_terms"), F.col("variants")))
+    q = pinned(questions.filter(F.trim("question") != ""), info=analyze(F.col("question"), lex))
+    q = pinned(q, q_terms=expanded_terms(F.col("info.key_terms"), variants(F.col("question"), F.col("info.intents"), lex)))
     n = chunks.agg(F.count("*").alias("n"))
     q = q.join(F.broadcast(n), F.lit(True))
     target, most = targets(F.col("n"), F.lit(k) if k else suggested_k(F.col("question"), F.col("info"), lex))
@@ -97,7 +98,7 @@ def retrieve(
     dense = dense.join(limits, "qid").filter("dense_rank <= most").drop("most")
     sparse = sparse.join(limits, "qid").filter("sparse_rank <= most").drop("most")
     rows = fuse_ranks(dense, sparse).join(chunks.select("idx", "text", *([section] if section else [])), "idx").join(q, "qid")
-    c = terms(F.col("text"))
+    rows, c = pinned(rows, c_terms=terms(F.col("text"))), F.col("c_terms")
     rows = rows.withColumns({"lexical": coverage(F.col("q_terms"), c), "entity": coverage(F.col("q_entities"), c), "intent": intent_score(F.col("info.intents"), F.col("text"), F.col(section) if section else None), "reference_penalty": reference_penalty(F.col("text")).cast("double")})
     rows = rows.withColumn("fused_score", F.round(fused_score(weights), 6))
     order = Window.partitionBy("qid").orderBy(F.desc("fused_score"), "idx")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marsad.functions import text as T
+from marsad.functions.pin import pinned
 from marsad.operators import answer as A
 from marsad.operators import chunks as C
 from marsad.operators import evaluate as M
@@ -42,8 +43,8 @@ def q02_source_selection(spark: S, d: str) -> DataFrame:
 
 def q03_arabic_normalize(spark: S, d: str) -> DataFrame:
     t = F.replace(fx.ar(c("text")), F.lit("ب"), F.lit("بـ  \t"))
-    n = T.normalize_arabic(t)
-    return fx.documents(spark, d).select("doc_id", F.char_length(n).alias("n_chars"), *digest(("text_md5", n)))
+    rows = pinned(fx.documents(spark, d), n=T.normalize_arabic(t))
+    return rows.select("doc_id", F.char_length("n").alias("n_chars"), *digest(("text_md5", c("n"))))
 
 
 def q04_fragment_repair(spark: S, d: str) -> DataFrame:
@@ -54,7 +55,7 @@ def q04_fragment_repair(spark: S, d: str) -> DataFrame:
 
 def q05_tokens_terms(spark: S, d: str) -> DataFrame:
     t = fx.ar(c("text"))
-    rows = fx.documents(spark, d).select("doc_id", T.token_set(t).alias("tokens"), T.terms(t).alias("terms"))
+    rows = pinned(fx.documents(spark, d), tokens=T.token_set(t), terms=T.terms(t))
     return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.size("terms").alias("n_terms"), *digest(("terms_md5", join_(c("terms")))))
 
 
@@ -64,7 +65,7 @@ def q06_numbers(spark: S, d: str) -> DataFrame:
 
 def q07_sentences(spark: S, d: str) -> DataFrame:
     t = F.replace(F.replace(c("text"), F.lit(" the "), F.lit("\n• ")), F.lit(" de "), F.lit("\n\n"))
-    rows = fx.documents(spark, d).select("doc_id", T.chunk_sentences(t).alias("a"), T.answer_sentences(t).alias("b"))
+    rows = pinned(fx.documents(spark, d), a=T.chunk_sentences(t), b=T.answer_sentences(t))
     return rows.select("doc_id", F.size("a").alias("n_chunker"), F.size("b").alias("n_answer"), *digest(("chunker_md5", F.array_join("a", "|")), ("answer_md5", F.array_join("b", "|"))))
 
 
@@ -162,7 +163,7 @@ def q19_intent_score(spark: S, d: str) -> DataFrame:
 
 def _user_turns(spark: S, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", "text", Q.analyze(c("text"), fx.LEX).alias("i"))
+    return pinned(turns.select("conv_id", "turn", "text"), i=Q.analyze(c("text"), fx.LEX))
 
 
 def q20_query_analysis(spark: S, d: str) -> DataFrame:
@@ -171,7 +172,8 @@ def q20_query_analysis(spark: S, d: str) -> DataFrame:
 
 def q21_variants_k(spark: S, d: str) -> DataFrame:
     v = Q.variants(c("text"), c("i.intents"), fx.LEX)
-    rows = _user_turns(spark, d).select("conv_id", "turn", v.alias("v"), Q.expanded_terms(c("i.key_terms"), v).alias("x"), Q.suggested_k(c("text"), c("i"), fx.LEX).alias("k"))
+    rows = pinned(_user_turns(spark, d), v=v)
+    rows = pinned(rows, x=Q.expanded_terms(c("i.key_terms"), c("v"))).select("conv_id", "turn", "v", "x", Q.suggested_k(c("text"), c("i"), fx.LEX).alias("k"))
     return rows.select("conv_id", "turn", F.size("v").alias("n_variants"), F.size("x").alias("n_terms"), "k", *digest(("terms_md5", join_(c("x")))))
 
 
@@ -207,12 +209,12 @@ def q24_payload_parse(spark: S, d: str) -> DataFrame:
 
 
 def _judged(spark: S, d: str) -> DataFrame:
-    rows = _sourced(spark, d).withColumn("payload", fx.model_payload()).withColumn("info", Q.analyze(c("question"), fx.LEX))
+    rows = pinned(_sourced(spark, d), payload=fx.model_payload(), info=Q.analyze(c("question"), fx.LEX))
     return A.decide(A.with_verdict(rows))
 
 
 def q25_validate(spark: S, d: str) -> DataFrame:
-    return A.with_verdict(_sourced(spark, d).withColumn("payload", fx.model_payload())).select("qid", "verdict", "ok", "supported", F.array_join("cited", ",").alias("cited"), F.size("quotes").alias("n_quotes"))
+    return A.with_verdict(pinned(_sourced(spark, d), payload=fx.model_payload())).select("qid", "verdict", "ok", "supported", F.array_join("cited", ",").alias("cited"), F.size("quotes").alias("n_quotes"))
 
 
 def q26_support_sentences(spark: S, d: str) -> DataFrame:
@@ -222,8 +224,8 @@ def q26_support_sentences(spark: S, d: str) -> DataFrame:
 
 
 def q27_partial_answer(spark: S, d: str) -> DataFrame:
-    rows = _sourced(spark, d).withColumn("info", Q.analyze(c("question"), fx.LEX))
-    rows = rows.withColumn("s", A.support_sentences(c("info.key_terms"), c("sources")))
+    rows = pinned(_sourced(spark, d), info=Q.analyze(c("question"), fx.LEX))
+    rows = pinned(rows, s=A.support_sentences(c("info.key_terms"), c("sources")))
     return rows.select("qid", A.can_answer(c("info"), c("s")).alias("can_answer"), *digest(("partial_md5", A.partial_answer(c("info"), c("s")))))
 
 
@@ -301,8 +303,8 @@ def q35_evidence_in_corpus(spark: S, d: str) -> DataFrame:
 
 def q36_condition_c_clean(spark: S, d: str) -> DataFrame:
     t = F.replace(F.replace(F.replace(fx.ar(c("text")), F.lit(". "), F.lit(" ي\n.")), F.lit("ا "), F.lit(" ي ")), F.lit("بت"), F.lit("الممل"))
-    n = T.clean_condition_c(t)
-    return fx.documents(spark, d).select("doc_id", F.char_length(n).alias("n_chars"), *digest(("text_md5", n)))
+    rows = pinned(fx.documents(spark, d), n=T.clean_condition_c(t))
+    return rows.select("doc_id", F.char_length("n").alias("n_chars"), *digest(("text_md5", c("n"))))
 
 
 def q37_histograms(spark: S, d: str) -> DataFrame:
