@@ -77,7 +77,7 @@ def test_normalize_and_repair_match_a_plain_loop(spark):
 
 
 def test_repair_leaves_clean_text_alone(spark):
-    for x in ("ولد في\n1940\nفي المدينة", "انظر\nhttps://example.org/a\nهنا", "عنوان\n• بند اول\n• بند ثان", "First line\nSecond line", "فقرة اولى كاملة.\n\nفقرة ثانية كاملة."):
+    for x in ("ولد في\n1940\nفي المدينة", "انظر\nhttps://example.org/a\nهنا", "عنوان\n• بند اول\n• بند ثان", "First line\nSecond line", "فقرة اول كاملة.\n\nفقرة ثانية كاملة."):
         ((r,),) = run(spark, [x], T.process(F.col("t")))
         assert r.repair_count == 0 and r.repaired == x
     ((r,),) = run(spark, ["كان يعمل\nفي\nالرياض"], T.process(F.col("t")))
