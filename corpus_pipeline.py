@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marsad.llm import packing, quality_forest, secret_scan, simhash, suffix_dedup
+from marsad.llm import near_copies, packing, quality_forest, secret_scan, suffix_dedup
 from marsad.llm.bpe import vocabulary_path
 from marsad.llm.common import materialise, table
 
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    out = simhash.dedup(docs.select("doc_id", "text"))
+    """Of each group of near copies (op7's links, or Jaccard 0.8 of 5-word shingles) the document with the smallest id stays."""
+    rows = materialise(near_copies.groups(docs.select("doc_id", "text")), "groups")
+    out = rows.join(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp")
     # A row goes if its component has a smaller id; rows without id have no rival they could name.
     gone = out.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
