@@ -21,12 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (op7's links, or Jaccard 0.8 of 5-word shingles) the document with the smallest id stays."""
+    """Of each group of near copies (op7's links, or Jaccard 0.8 of 5-word shingles) one row stays: the smallest id (nulls last), then text hash."""
     rows = materialise(near_copies.groups(docs.select("doc_id", "text")), "groups")
-    out = rows.join(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp")
-    # A row goes if its component has a smaller id; rows without id have no rival they could name.
-    gone = out.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    # One row of each component stays: the smallest id, nulls last, then the smallest text hash.
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    again = rows.groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias("_id2"), F.col("th").alias("_th2"))
+    best = best.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left").select("_id", "_th", F.col("_th2").isNotNull().alias("_again"))
+    kept = docs.join(best, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_th")))
+    once = kept.filter("_again").dropDuplicates(["_id", "_th"])  # rows alike in id and text
+    return kept.filter("NOT _again").union(once).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

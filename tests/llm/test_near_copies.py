@@ -42,3 +42,12 @@ def test_stage_drops_near_copies_that_fingerprints_miss(spark):
     kept = {r.doc_id for r in P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
     assert not [(i, j) for i in kept for j in kept if i < j and jaccard(rows[i][1], rows[j][1]) >= 0.8]
     assert {7 * k for k in range(30)} <= kept
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    """Removal by doc_id kept rows without id and repeated rows, and took a clean row with the id of a copy."""
+    clean = lambda i: " ".join(f"plain{i}word{k}" for k in range(50))
+    rows = [(1, clean(1)), (2, clean(1)), (2, clean(2)), (None, clean(1)), (None, clean(3)), (None, clean(3)), (4, clean(4)), (4, clean(4)), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, clean(1)), (2, clean(2)), (None, clean(3)), (4, clean(4)), (5, None)], key=str)
