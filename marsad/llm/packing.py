@@ -1,14 +1,14 @@
 """Packing token ids into sequences: by lexical retrieval (BM25), and best-fit decreasing.
 
-Both work on shards: the documents that one task reads, up to ``SHARD_DOCS`` documents or
-``SHARD_IDS`` ids. Nothing is shuffled and a shard's memory is bounded, so the cost is linear in the
-input. An empty document still has its final id. Sequence numbers are the task's number and a
-counter in it.
+Best fit works on shards: the documents that one task reads, up to ``BFD_DOCS`` documents or
+``SHARD_IDS`` ids. Nothing is shuffled and a shard's memory is bounded, so its cost is linear in the
+input. Its sequence numbers are the task's number and a counter in it. An empty document still has
+its final id.
 
-Retrieval packing: a shard's inverted index (postings of token ids with BM25 weights) scores all its
-documents for a seed; the unused neighbours fill the seed's window in order of score, then of
-arrival. What a window can't hold of a document becomes the next seed. The last, unfilled window of
-a shard is cut at powers of two, which need no padding.
+Retrieval packing searches the whole table (``retrieval``): unused neighbours fill a seed's window
+in order of score, then of arrival; what a window can't hold of a document becomes a next seed.
+``Index`` and ``retrieval_pack`` do the same for documents in memory, seed by seed. The last, unfilled
+window is cut at powers of two, which need no padding.
 
 Best fit: a document longer than a sequence gives full sequences and a rest; pieces go, longest
 first, to the sequence with the least room that is enough, which a segment tree over room finds.
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from marsad.llm import retrieval
 from marsad.llm.bpe import encoder, vocabulary_path
 from marsad.llm.common import small, table
 
@@ -216,13 +217,8 @@ def _piece_batch(names: list, held: list[bytes], found: list[Piece]) -> pa.Recor
 
 
 def retrieval_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """One row per piece of retrieval packing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _numbered(retrieval_pack, SHARD_DOCS, path, batches):
-            yield _piece_batch(*found)
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    """One row per piece of retrieval packing, with neighbours from the whole table."""
+    return retrieval.pieces(docs, path, LENGTH, PIECES)
 
 
 MATRIX = "sequence_id long, n_ids int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
