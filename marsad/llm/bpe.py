@@ -1,19 +1,26 @@
-"""BPE as a deterministic automaton over tokens; encoding, decoding, and a query for both.
-
-Every merge (u, v) of rank r adds a gadget: after a token whose right edge exposed u at the time of
-rank r, the arcs of tokens that exposed v on their left edge then are taken away (and the merged
-token's own arc stands in for them). What is left after all gadgets is deterministic: a state is the
-last token, and x may be followed by y unless some merge joins them across their border. Written
-out, the arcs would number billions, so the gadgets are kept as tables (rank of a pair, edges of a
-token with the ranks between which they are exposed), and an arc's presence is worked out from them
-on first use and then looked up. A word is read left to right; each prefix has exactly one path.
-Decoding emits the labels of the arcs.
-
-Word pieces between ASCII white space are encoded once per worker and then looked up (in a table
-with a bound on its size); special strings in a text become their ids, as the library does it.
-
-Defined cases: null text is empty; the empty text has no ids; repeated rows are encoded each; null
-ids are carried; other columns are ignored.
+"""BPE as a deterministic automaton over tokens: compiled by merge gadgets, walked by tables.
+
+A state is the last token; an arc (x, y) says that token y may follow token x inside a word. At
+first all tokens are single bytes and every arc is there. The merges add a gadget each, in order of
+rank: (u, v) of rank r takes away the arc from u to v, and the new token uv goes on as v does and is
+entered as u is. So an arc (x, y) is gone if x ends in some u and y begins with some v whose merge came
+before anything hid either of them. Tokens that begin with v form a tree; in its preorder, with later
+merges first, one gadget takes from a state one interval of arcs. The compiled automaton is, for each state,
+its intervals in order (``begins``, ``ends``), beside a trie of labels.
+
+A word is read left to right without going back: each of its prefixes has exactly one path, so the
+state after a prefix is one token, and a label that starts there leads on if its arc is there. That
+is linear in the word's length (times the longest label). Words of a slice are walked together, a
+column of places at a time; words of ``LONG`` bytes or more one by one. Decoding emits the arcs' labels.
+
+Texts are cut at ASCII white space, and only distinct pieces and distinct words of a slice are looked
+at (Arrow's dictionaries); ids are gathered by index. Words already walked are kept, within a bound.
+Special strings in a text become their ids, as the library does it.
+
+Defined cases: null text is empty; the empty text has no ids; a text of any length is cut into parts
+of about ``TOGETHER`` bytes at white space, and a single word without any is walked in linear time;
+repeated rows are encoded each; null ids are carried; other columns, whatever their names, are ignored;
+an empty table gives no rows. There are no ties: a text has one encoding.
 """
 
 from __future__ import annotations
@@ -21,21 +28,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from marsad.llm.common import small, table
+from marsad.llm.common import table
 
-#: Characters of text whose new words are merged together.
-TOGETHER = 1 << 21
-STOPS = (b".", b",", b"!", b"?", b";", b":")
-#: Pieces kept per worker: two generations of this many.
-REMEMBERED = 200_000
+#: Bytes of text whose pieces are encoded together.
+TOGETHER = 4 << 20
+#: Words walked together, and the size from which one goes alone.
+ABREAST, LONG = 1 << 13, 48
+#: Words kept per worker, and bytes of them.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
+_FOREVER = 1 << 60
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,6 +61,40 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """Integers to integers for whole arrays; -1 where there is none. Open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            slots, first = np.unique(at[free], return_index=True)
+            self.keys[slots], self.values[slots] = keys[free[first]], values[free[first]]
+            left = np.setdiff1d(left, free[first], assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = self.values[at]
+        left = np.flatnonzero(found != keys)
+        out[left] = -1
+        left = left[found[left] >= 0]
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Automaton:
     def __init__(self, path: str):
         import regex
@@ -59,7 +103,7 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         model, of = spec["model"], _byte_of()
         end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -68,289 +112,378 @@ class Automaton:
         self.labels = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for s, i in [*vocab.items(), *self.special.items()]:
             self.labels[i] = s
-        self.inner: dict[bytes, int] = {}  # tokens inside a word, and those at its end
-        self.final: dict[bytes, int] = {}
-
-        def known(s: str, i: int) -> None:
-            ends = bool(end) and s.endswith(end)
-            (self.final if ends else self.inner)[bytes(of[c] for c in (s[: -len(end)] if ends else s))] = i
-
-        for c in of:  # the first states: single bytes
-            for s in (c, c + end):
-                if s in vocab:
-                    known(s, vocab[s])
-        self.rank: dict[int, int] = {}  # gadgets: pair -> rank
+        #: Arcs out of the start are all there: it is a state without gadgets.
+        self.start = len(self.labels)
         self.parts: dict[int, tuple[int, int, int]] = {}
-        self._right: dict[int, list[tuple[int, int]]] = {}
-        self._left: dict[int, list[tuple[int, int]]] = {}
+        tokens = [vocab[s] for c in of for s in (c, c + end) if s in vocab]
+        gadgets = []
+        self.rank: dict[int, int] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
+            gadgets.append((u, v, r))
             self.rank.setdefault(u << 20 | v, r)
-            # A merge that an earlier one always forestalls makes no token.
-            if uv not in self.parts and self._arc(u, v, r):
+            # A merge whose arc is gone already makes no token.
+            if uv not in self.parts and not self._taken(u, v, r):
                 self.parts[uv] = (u, v, r)
-                known(a + b, uv)
-        #: How long a label inside a word can be that begins with these four bytes.
-        self.reach: dict[bytes, int] = {}
-        for label in self.inner:
-            self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 3))
-        self.arcs: dict[int, bool] = {}
-
-    def _edge(self, x: int, side: int, seen: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+                tokens.append(uv)
+        self._intervals(np.array(gadgets, np.int64), tokens)
+        self._trie(tokens, of, end)
+        self.joints: dict[int, bool] = {}
+
+    # -- compilation -----------------------------------------------------------------------------
+
+    def _edge(self, x: int, side: int) -> list[tuple[int, int]]:
         """(token exposed on one side of x, rank of the merge that hides it)."""
-        out = seen.get(x)
-        if out is None:
-            out, hides, y = [(x, 1 << 60)], 0, x
-            while y in self.parts:
-                hides = self.parts[y][2]
-                y = self.parts[y][side]
-                out.append((y, hides))
-            seen[x] = out
+        out = [(x, _FOREVER)]
+        while x in self.parts:
+            hides, x = self.parts[x][2], self.parts[x][side]
+            out.append((x, hides))
         return out
 
-    def _arc(self, x: int, y: int, before: int = 1 << 60) -> bool:
-        """Whether the state after x has an arc y: no gadget of a rank under ``before`` joins them."""
-        for u, hidden in self._edge(x, 1, self._right):
-            for v, covered in self._edge(y, 0, self._left):
+    def _taken(self, x: int, y: int, before: int) -> bool:
+        """Whether a gadget of a rank under ``before`` took the arc (x, y)."""
+        for u, hidden in self._edge(x, 1):
+            for v, covered in self._edge(y, 0):
                 r = self.rank.get(u << 20 | v)
-                # Of equal merges the left one goes first.
-                if r is not None and r < before and r < hidden and r <= covered:
-                    return False
-        return True
-
-    def word(self, w: bytes) -> list[int]:
-        """Ids of one pre-split word: the one path through the automaton that spells it.
-
-        Longer labels are tried first. A prefix has one path at most, so an end that was reached
-        once and led nowhere is never tried again.
-        """
-        final, inner, arcs, reach = self.final.get, self.inner.get, self.arcs.get, self.reach.get
-        t = final(w)
-        if t is not None:
-            return [t]
-        n, at, last = len(w), 0, -1
-        out: list[int] = []
-        ends, seen, top = [0], bytearray(n + 1), n
-        while True:
-            if top == n:
-                t = final(w[at:])
-                if t is not None and (last < 0 or self.joint(last << 20 | t)):
-                    out.append(t)
-                    return out
-                top -= 1
-            for end in range(min(top, at + reach(w[at : at + 4], 3)), at, -1):
-                t = inner(w[at:end])
-                if t is None or seen[end]:
+                if r is not None and r < before and r < hidden and r <= covered:  # of equal merges the left one goes first
+                    return True
+        return False
+
+    def _intervals(self, gadgets: np.ndarray, tokens: list[int]) -> None:
+        """Places of tokens in the preorder, and each state's taken intervals in order."""
+        children: dict[int, list[tuple[int, int]]] = {}
+        for t, (u, _, r) in self.parts.items():
+            children.setdefault(u, []).append((r, t))
+        place = np.zeros(self.start + 1, np.int64)
+        last: dict[int, list[tuple[int, int]]] = {}  # token -> (rank of child, last place under it), later merges first
+        own = {}
+        n = 0
+        for root in tokens:
+            if root in self.parts:
+                continue
+            stack = [(root, -1, -1)]
+            while stack:
+                t, parent, r = stack.pop()
+                if t < 0:  # leaving
+                    last.setdefault(parent, []).append((r, n - 1))
                     continue
-                if last >= 0:
-                    ok = arcs(last << 20 | t)
-                    if ok is None:
-                        ok = self.joint(last << 20 | t)
-                    if not ok:
-                        continue
-                out.append(t)
-                seen[end] = 1
-                ends.append(end)
-                at, last, top = end, t, n
-                break
-            else:
-                out.pop()
-                top = ends.pop() - 1
-                at, last = ends[-1], out[-1] if out else -1
-
-    def joint(self, pair: int) -> bool:
-        """Whether the arc of a pair is there, looked up or worked out."""
-        ok = self.arcs.get(pair)
+                place[t] = own[t] = n
+                n += 1
+                if parent >= 0:
+                    stack.append((-1, parent, r))
+                for rank, child in sorted(children.get(t, ())):
+                    stack.append((child, t, rank))
+        first = np.unique(gadgets[:, 0] << 20 | gadgets[:, 1], return_index=True)[1]  # the earliest of equal merges
+        u, v, r = gadgets[np.sort(first)].T
+        begin = place[v]
+        end = begin.copy()
+        for i, (b, rank) in enumerate(zip(v.tolist(), r.tolist(), strict=True)):
+            for rank_of, until in last.get(b, ()):  # children merged at that rank or later are entered as b is
+                if rank_of < rank:
+                    break
+                end[i] = until
+        order = np.argsort(u, kind="stable")
+        u, r, begin, end = u[order], r[order], begin[order], end[order]
+        lo, hi = np.searchsorted(u, np.arange(self.start)), np.searchsorted(u, np.arange(self.start), "right")
+        right, made = np.full(self.start, -1, np.int64), np.full(self.start, _FOREVER, np.int64)
+        for t, (_, b, rank) in self.parts.items():
+            right[t], made[t] = b, rank
+        x = np.array(tokens, np.int64)
+        at, hidden = x.copy(), np.full(len(x), _FOREVER, np.int64)
+        found = []
+        while len(x):  # along the right edges of all states at once
+            many = hi[at] - lo[at]
+            which = np.repeat(np.arange(len(x)), many)
+            g = np.repeat(lo[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            ok = r[g] < hidden[which]
+            found.append((x[which[ok]] << 17 | begin[g[ok]], x[which[ok]] << 17 | end[g[ok]]))
+            go = right[at] >= 0
+            x, hidden, at = x[go], made[at[go]], right[at[go]]
+        begins, ends = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(begins, kind="stable")
+        self.place = place
+        self.begins = np.concatenate(([-1], begins[order]))
+        self.ends = np.maximum.accumulate(np.concatenate(([-1], ends[order])))
+
+    def _trie(self, tokens: list[int], of: dict[str, int], end: str) -> None:
+        """Labels as a trie over bytes; a word's last byte is a symbol of its own (256 up)."""
+        self.step: dict[int, int] = {}
+        at_node = [-1]
+        for t in tokens:
+            s = self.labels[t]
+            ends = bool(end) and s.endswith(end)
+            symbols = [of[c] for c in (s[: -len(end)] if ends else s)]
+            if ends:
+                symbols[-1] += 256
+            node = 0
+            for c in symbols:
+                node = self.step.setdefault(node << 10 | c, len(at_node))
+                if node == len(at_node):
+                    at_node.append(-1)
+            at_node[node] = t
+        self.token = np.array(at_node, np.int32)
+        self.tokens = at_node
+        self.steps = Table(np.fromiter(self.step, np.int64, len(self.step)), np.fromiter(self.step.values(), np.int32, len(self.step)))
+
+    # -- walking ---------------------------------------------------------------------------------
+
+    def allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which arcs (x, y) are there."""
+        q = x.astype(np.int64) << 17 | self.place[y]
+        return self.ends[np.searchsorted(self.begins, q, "right") - 1] < q
+
+    def joint(self, x: int, y: int) -> bool:
+        """``allowed`` of one arc, remembered."""
+        key = x << 20 | y
+        ok = self.joints.get(key)
         if ok is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            ok = self.arcs[pair] = self._arc(pair >> 20, pair & 0xFFFFF)
+            if len(self.joints) > 500_000:
+                self.joints.clear()
+            ok = self.joints[key] = bool(self.allowed(np.array([x]), np.array([y]))[0])
         return ok
 
-    def piece(self, raw: bytes) -> list[int]:
-        """Ids of a piece of text without ASCII white space."""
+    def word(self, w: bytes) -> list[int]:
+        """Ids of one pre-split word."""
+        n, step, tokens, joint = len(w), self.step.get, self.tokens, self.joint
+        state, back = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        state[0] = self.start
+        for i in range(n):
+            x, node = state[i], 0
+            for j in range(i, n):
+                node = step(node << 10 | (w[j] if j < n - 1 else w[j] + 256))
+                if node is None:
+                    break
+                t = tokens[node]
+                if t >= 0 and state[j + 1] < 0 and joint(x, t):
+                    state[j + 1], back[j + 1] = t, i
+        out, at = [], n
+        while at:
+            out.append(state[at])
+            at = back[at]
+        return out[::-1]
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words one after another, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        flat, count = [np.empty(0, np.int32)], np.zeros(len(words), np.int64)
+        short = int(np.searchsorted(size[order], LONG))
+        for a in range(0, short, ABREAST):
+            some = order[a : min(short, a + ABREAST)]
+            ids, count[some] = self._abreast([words[i] for i in some.tolist()], size[some])
+            flat.append(ids)
+        for i in order[short:].tolist():
+            ids = np.array(self.word(words[i]), np.int32)
+            count[i] = len(ids)
+            flat.append(ids)
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return gather(np.concatenate(flat), begin, count, np.arange(len(words))), count
+
+    def _abreast(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``words`` in order of size, all of them a place at a time."""
+        m, n = len(words), int(size[-1]) if len(words) else 0
+        row, at = np.repeat(np.arange(m), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        symbol = np.full((n, m), 512, np.int64)  # 512: beyond the end
+        symbol[at, row] = np.frombuffer(b"".join(words), np.uint8)
+        some = size > 0
+        symbol[size[some] - 1, np.flatnonzero(some)] += 256
+        state, back = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
+        state[0] = self.start
+        for i in range(n):
+            rows = np.arange(np.searchsorted(size, i, "right"), m)
+            node = np.zeros(len(rows), np.int64)
+            for j in range(i, n):
+                node = self.steps.get(node << 10 | symbol[j, rows])
+                good = np.flatnonzero(node >= 0)
+                if not len(good):
+                    break
+                rows, node = rows[good], node[good].astype(np.int64)
+                t = self.token[node]
+                c = np.flatnonzero((t >= 0) & (state[j + 1, rows] < 0))
+                r, t = rows[c], t[c]
+                ok = self.allowed(state[i, r], t)
+                state[j + 1, r[ok]], back[j + 1, r[ok]] = t[ok], i
+        out, count, at = np.zeros((m, n), np.int32), np.zeros(m, np.int64), size.copy()
+        rows = np.flatnonzero(at > 0)
+        while len(rows):
+            count[rows] += 1
+            out[rows, n - count[rows]] = state[at[rows], rows]
+            at[rows] = back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        return out[np.arange(n) >= n - count[:, None]], count
+
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """Words of a piece of text without ASCII white space; a special string is 255 and its id."""
         text, out, at = raw.decode("utf-8", "replace"), [], 0
         for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out += [w.encode() for w in self.split(self.normal(text[at : m.start()]))]
+            out.append(b"\xff%d" % self.special[m[0]])
             at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[int]:
-        if text.isalpha() and max(text) < "\u0130":  # Latin: composed already, and one word
-            return self.word(text.lower().encode())
-        return [i for w in self.words(self.normal(text)) for i in self.word(w.encode())] if text else []
+        return out + [w.encode() for w in self.split(self.normal(text[at:]))]
 
     def decode(self, ids) -> str:
         """Labels of the arcs, as the library joins them when a file names no decoder."""
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_ASCII = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
+def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches ``which`` of ``flat`` one after another."""
+    many = count[which]
+    total = int(many.sum())
+    return flat[np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(total)]
 
 
-def parts_of(raw: bytes) -> list[bytes] | None:
-    """Words in lower case, digits and runs of marks whose ids make up the piece's; None: not so simple."""
-    if raw.isalpha():
-        return [raw.lower()]
-    if raw.isascii():
-        return None if b"'" in raw or b"<" in raw else [x.lower() for x in _ASCII(raw)]
-    stop = len(raw) > 1 and raw[-1:] in STOPS
-    text = (raw[:-1] if stop else raw).decode("utf-8", "replace")
-    if text.isalpha() and max(text) < "\u0130":  # Latin: composed already, and one word in lower case too
-        return [text.lower().encode(), raw[-1:]] if stop else [text.lower().encode()]
-    return None
+def _binary(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
-class Encoder(dict):
-    """Piece -> little-endian unsigned 32-bit ids; two generations bound its size.
+def _content(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a large binary array."""
+    if not len(values):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return at - at[0], raw[at[0] : at[-1]]
 
-    Case and marks make most of the variants of a word; they are put together from parts.
-    """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.automaton, self.old = Automaton(path), {}
-        self.merger: Merger | None = None
-
-    def __missing__(self, raw: bytes) -> bytes:
-        out = self.old.get(raw)
-        if out is None:
-            parts = parts_of(raw)
-            if parts and (len(parts) > 1 or parts[0] != raw):
-                return b"".join([self[x] for x in parts])
-            ids = self.automaton.word(raw) if parts and (raw.isalpha() or not raw.isascii()) else self.automaton.piece(raw)
-            out = pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBERED:
-            self._turn()
-        if len(raw) < 200:
-            self[raw] = out
-        return out
+#: Kinds of bytes: 0 marks, 1 letters, 2 digits; 3 has to be looked at by the library's own rules.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 3
+_KIND[[ord("'"), ord("<"), 0]] = 3
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
 
-    def _turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-    def ids(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        return b"".join(map(self.__getitem__, raw.split()))
-
-    def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        """As ``ids`` of each; words that are new are merged together, which costs less per word.
-
-        Some ``TOGETHER`` characters at a time, so that their pieces stay in the processor's cache.
-        """
-        begin = size = 0
-        for end, t in enumerate(texts, 1):
-            size += len(t or "")
-            if size >= TOGETHER or end == len(texts):
-                yield from self._some(texts[begin:end])
-                begin, size = end, 0
-
-    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
-        pieces = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        old = self.old
-        parts = {p: parts_of(p) for p in set().union(*pieces) if p not in self and p not in old}
-        words = {w for some in parts.values() if some for w in some if (w.isalpha() or not w.isascii()) and len(w) < 64}
-        words = [w for w in words if w not in self and w not in old]
-        if len(self) + len(parts) + len(words) > REMEMBERED:
-            self._turn()
-        if self.merger is None:
-            self.merger = Merger(self.automaton)
-        for i in range(0, len(words), REMEMBERED):
-            self.update(self.merger.encode(words[i : i + REMEMBERED]))
-        for p, some in parts.items():
-            if some and len(p) < 64 and p not in self:
-                self[p] = b"".join([self[x] for x in some]) if some != [p] else self.__missing__(p)
-        for some in pieces:
-            yield b"".join(map(self.__getitem__, some))
-
-
-class Merger:
-    """Plain BPE over many words at once: each round makes one merge in every word that has one left."""
-
-    NONE = np.int32(2**31 - 1)
-
-    def __init__(self, a: Automaton):
-        self.inner = np.array([a.inner[bytes([b])] for b in range(256)], np.int32)
-        self.final = np.array([a.final[bytes([b])] for b in range(256)], np.int32)
-        made = {(u, v): t for t, (u, v, _) in a.parts.items()}
-        pairs = sorted((u << 20 | v, r, made[u, v]) for u, v, r in ((k >> 20, k & 0xFFFFF, r) for k, r in a.rank.items()) if (u, v) in made)
-        # A table that a pair's hash points into, wide enough for short probes.
-        self.bits = 19
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.ranks, self.results = np.full(1 << self.bits, self.NONE), np.zeros(1 << self.bits, np.int32)
-        self.probes = 1
-        for key, r, t in pairs:
-            at, n = int(self._slot(np.array([key]))[0]), 1
-            while self.keys[at] >= 0:
-                at, n = (at + 1) & ((1 << self.bits) - 1), n + 1
-            self.keys[at], self.ranks[at], self.results[at], self.probes = key, r, t, max(n, self.probes)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged token) of pairs; NONE where there is no merge."""
-        key = u.astype(np.int64) << 20 | v
-        at = self._slot(key)
-        rank = np.where(self.keys[at] == key, self.ranks[at], self.NONE)
-        token = self.results[at]
-        left = np.flatnonzero((rank == self.NONE) & (self.keys[at] >= 0))
-        for _ in range(1, self.probes):
-            if not len(left):
-                break
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            hit = left[self.keys[at[left]] == key[left]]
-            rank[hit], token[hit] = self.ranks[at[hit]], self.results[at[hit]]
-            left = left[(self.keys[at[left]] >= 0) & (self.keys[at[left]] != key[left])]
-        return rank, token
-
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        words = sorted(words, key=len)
-        at = 0
-        while at < len(words):
-            n, end = len(words[at]), at
-            while end < len(words) and len(words[end]) == n and end - at < 1 << 14:
-                end += 1
-            some = words[at:end]
-            yield from zip(some, self._same_length(some, n), strict=True)
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """Kind of each byte; the composed Latin letters from U+00C0 to U+012F are letters."""
+    kind = _KIND[raw]
+    for head, last, odd in ((0xC3, 0xBF, (0x97, 0xB7)), (0xC4, 0xAF, ())):
+        at = np.flatnonzero(raw[:-1] == head)
+        tail = raw[at + 1]
+        at = at[(tail >= 0x80) & (tail <= last) & ~np.isin(tail, odd)]
+        kind[at] = kind[at + 1] = 1
+    return kind
+
+
+class Encoder:
+    """Texts to ids; holds the automaton and the words walked so far."""
+
+    def __init__(self, path: str):
+        self.automaton = Automaton(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
+        self.flat, self.begin, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _resolve(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in ``begin`` and ``count``."""
+        keys = words.to_pylist()
+        at = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        size = sum(len(keys[i]) for i in new.tolist())
+        if len(self.known) + len(new) > REMEMBERED or self.bytes + size > REMEMBERED_BYTES:
+            self._forget()
+            new = np.arange(len(keys))
+        if len(new):
+            found = [keys[i] for i in new.tolist()]
+            marked = [i for i, w in enumerate(found) if w[:1] == b"\xff"]
+            ids, count = self.automaton.words([b"" if w[:1] == b"\xff" else w for w in found])
+            begin = len(self.flat) + np.cumsum(count) - count
+            if marked:
+                begin[marked], count[marked] = len(self.flat) + len(ids) + np.arange(len(marked)), 1
+                ids = np.concatenate((ids, np.array([int(found[i][1:]) for i in marked], np.int32)))
+            at[new] = len(self.begin) + np.arange(len(new))
+            self.known.update(zip(found, at[new].tolist(), strict=True))
+            self.flat, self.begin, self.count = (np.concatenate(p) for p in ((self.flat, ids), (self.begin, begin), (self.count, count)))
+            self.bytes += size
+        return at
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: (flat, begin, count)."""
+        offsets, raw = _content(pieces)
+        n = len(pieces)
+        kind = kinds(raw)
+        odd = np.diff(np.concatenate(([0], np.cumsum(kind == 3)))[offsets]) > 0
+        strange = np.flatnonzero(odd)
+        plain = np.flatnonzero(~odd)
+        size = np.diff(offsets)
+        where = gather(np.arange(len(raw)), offsets[:-1], size, plain)
+        raw_plain, kind = raw[where], kind[where]
+        edge = np.cumsum(size[plain]) - size[plain]
+        start = np.ones(len(raw_plain), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        start[edge[size[plain] > 0]] = True
+        first = np.flatnonzero(start)
+        lowered = bytes(raw_plain).decode().lower().encode()
+        words = _binary(lowered, np.append(first, len(raw_plain)))
+        n_words = np.diff(np.append(np.searchsorted(first, edge), len(first)))
+        more = [self.automaton.pieces(p) for p in pieces.take(pa.array(strange)).to_pylist()]
+        if more:
+            words = pa.concat_arrays([words, pa.array([w for some in more for w in some], pa.large_binary())])
+            n_words = np.concatenate((n_words, [len(some) for some in more])).astype(np.int64)
+        coded = words.dictionary_encode()
+        at = self._resolve(coded.dictionary)[coded.indices.to_numpy()]
+        flat = gather(self.flat, self.begin, self.count, at)
+        ends = np.concatenate(([0], np.cumsum(self.count[at])))
+        upto = np.cumsum(n_words)
+        begin, end = ends[upto - n_words], ends[upto]
+        order = np.concatenate((plain, strange))
+        out = np.empty((2, n), np.int64)
+        out[0, order], out[1, order] = begin, end - begin
+        return flat, out[0], out[1]
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        flat, begin, count = self._distinct(coded.dictionary)
+        which = coded.indices.to_numpy()
+        upto = np.concatenate(([0], np.cumsum(count[which])))
+        edges = lists.offsets.to_numpy()
+        return gather(flat, begin, count, which), upto[edges - edges[0]]
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids one after another, n + 1 offsets) for some texts at a time, in order."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = pc.binary_length(texts).to_numpy()
+        begin = held = 0
+        for i, s in enumerate(size.tolist()):
+            if s > TOGETHER:
+                if begin < i:
+                    yield self._together(texts.slice(begin, i - begin))
+                yield self._very_long(texts[i].as_py().encode())
+                begin, held = i + 1, 0
+                continue
+            held += s
+            if held >= TOGETHER:
+                yield self._together(texts.slice(begin, i + 1 - begin))
+                begin, held = i + 1, 0
+        if begin < len(size):
+            yield self._together(texts.slice(begin))
+
+    def _very_long(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        out, at = [np.empty(0, np.int32)], 0
+        while at < len(raw):
+            m = _WHITE.search(raw, at + TOGETHER)
+            end = m.end() if m else len(raw)
+            out.append(self._together(pa.array([raw[at:end].decode()], pa.large_string()))[0])
             at = end
+        ids = np.concatenate(out)
+        return ids, np.array([0, len(ids)])
+
+    def many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for ids, at in self.batch(pa.array(texts, pa.large_string())):
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[a:b]
 
-    def _same_length(self, words: list[bytes], n: int) -> Iterator[bytes]:
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
-        t = np.concatenate((self.inner[raw[:, :-1]], self.final[raw[:, -1:]]), 1)
-        size = np.full(len(words), n)
-        open_ = np.arange(len(words))
-        done = t.copy()
-        rank, token = (x.reshape(len(words), n - 1) for x in self.find(t[:, :-1].ravel(), t[:, 1:].ravel()))
-        while n > 1 and len(open_):
-            rows = np.arange(len(open_))
-            j = rank.argmin(1)  # the first of equal ones
-            more = rank[rows, j] < self.NONE
-            if not more.all():
-                done[open_[~more]] = t[~more]
-                open_, t, rank, token, j = open_[more], t[more], rank[more], token[more], j[more]
-                rows = rows[: len(open_)]
-            if not len(open_):
-                break
-            t[rows, j] = token[rows, j]
-            size[open_] -= 1
-            # Close the gap: what stands right of the merged pair moves left.
-            for r in (1, 0):  # pairs lose place j, tokens place j + 1
-                x = t if r else rank
-                shift = np.arange(x.shape[1] - 1) >= (j + r)[:, None]
-                x[:, :-1] = np.where(shift, x[:, 1:], x[:, :-1])
-            shift = np.arange(token.shape[1] - 1) >= j[:, None]
-            token[:, :-1] = np.where(shift, token[:, 1:], token[:, :-1])
-            rank[:, -1] = self.NONE
-            for k in (j - 1, j):
-                ok = np.flatnonzero((k >= 0) & (k + 1 < size[open_]))
-                rank[ok, k[ok]], token[ok, k[ok]] = self.find(t[ok, k[ok]], t[ok, k[ok] + 1])
-        flat = done.astype("<u4").tobytes()
-        for i, m in enumerate(size.tolist()):
-            yield flat[4 * i * n : 4 * (i * n + m)]
+    def ids(self, text: str | None) -> np.ndarray:
+        return next(self.many([text]))
 
 
 @lru_cache(2)
@@ -364,10 +497,14 @@ def codec(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in small(batches):
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(e.ids(text), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([e.automaton.decode(ids.tolist())])], ["doc_id", "ids", "decoded"])
+        for batch in batches:
+            names, at = batch.column("doc_id").cast(pa.int64()), 0
+            for ids, offsets in e.batch(batch.column("text")):
+                n = len(offsets) - 1
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                decoded = [e.automaton.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([names.slice(at, n), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                at += n
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -379,14 +516,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         labels, sha = e.automaton.labels, hashlib.sha256
         label_of, name_of = [x.encode() for x in labels], [b"%d" % i for i in range(len(labels))]
-        for batch in small(batches):
-            n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(e.ids(text), "<u4").tolist()
-                n.append(len(ids))
-                a.append(sha(b" ".join(map(name_of.__getitem__, ids))).hexdigest())
-                b.append(sha(b" ".join(map(label_of.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            names, at = batch.column("doc_id").cast(pa.int64()), 0
+            for ids, offsets in e.batch(batch.column("text")):
+                edges, a, b = offsets.tolist(), [], []
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    mine = ids[x:y].tolist()
+                    a.append(sha(b" ".join(map(name_of.__getitem__, mine))).hexdigest())
+                    b.append(sha(b" ".join(map(label_of.__getitem__, mine))).hexdigest())
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([names.slice(at, n), pa.array(np.diff(offsets)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += n
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

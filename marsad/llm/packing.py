@@ -1,26 +1,22 @@
-"""Packing token ids into sequences: by lexical retrieval (BM25), and best-fit decreasing.
+"""Packing token ids into sequences by best-fit decreasing, and the queries of both packings.
 
 Best fit works on shards: the documents that one task reads, up to ``BFD_DOCS`` documents or
 ``SHARD_IDS`` ids. Nothing is shuffled and a shard's memory is bounded, so its cost is linear in the
-input. Its sequence numbers are the task's number and a counter in it. An empty document still has
-its final id.
+input. Its sequence numbers are the task's number and a counter in it. A document longer than a sequence
+gives full sequences and a rest, so nothing is lost; pieces go, longest first, to the sequence with the
+least room that is enough, which a segment tree over room finds.
 
-Retrieval packing searches the whole table (``retrieval``): unused neighbours fill a seed's window
-in order of score, then of arrival; what a window can't hold of a document becomes a next seed.
-``Index`` and ``retrieval_pack`` do the same for documents in memory, seed by seed. The last, unfilled
-window is cut at powers of two, which need no padding.
+Packing by lexical retrieval is in ``retrieval``.
 
-Best fit: a document longer than a sequence gives full sequences and a rest; pieces go, longest
-first, to the sequence with the least room that is enough, which a segment tree over room finds.
-
-Defined cases: null text is empty, null ids are carried, repeated rows are packed each, an empty
-table gives no rows; other columns are ignored.
+Defined cases: null text is empty (its final id alone), null ids are carried, repeated rows are packed
+each, ties (pieces of one size) go in order of arrival, very long texts are cut into whole sequences, an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,118 +25,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marsad.llm import retrieval
 from marsad.llm.bpe import encoder, vocabulary_path
-from marsad.llm.common import small, table
+from marsad.llm.common import scratch, small, table
 
 LENGTH, END = 2048, 1
-SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
-BFD_DOCS = 8192
-K1, B = 1.2, 0.75
-_END = np.array([END], "<u4").tobytes()
+SHARD_IDS, BFD_DOCS = 4_000_000, 8192
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: doc, start, length, sequence, offset
 Piece = tuple[int, int, int, int, int]
 
 
-def shards(batches: Iterator[pa.RecordBatch], path: str, docs: int, ids: int = SHARD_IDS) -> Iterator[tuple[list, list[bytes]]]:
-    """(doc ids, their token ids with the final one as bytes) of one shard after another."""
+def shards(batches: Iterator[pa.RecordBatch], path: str, docs: int, most: int = SHARD_IDS) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(doc ids, their token ids with the final one) of one shard after another."""
     e, names, held, size = encoder(path), [], [], 0
-    for batch in small(batches):
-        for name, found in zip(batch.column("doc_id").to_pylist(), e.many(batch.column("text").to_pylist()), strict=True):
-            names.append(name)
-            held.append(found + _END)
-            size += len(held[-1]) // 4
-            if len(held) >= docs or size >= ids:
-                yield names, held
-                names, held, size = [], [], 0
+    for batch in batches:
+        every, at = batch.column("doc_id").to_pylist(), 0
+        for ids, offsets in e.batch(batch.column("text")):
+            ids = np.insert(ids, offsets[1:], END).astype("<u4")
+            edges = (offsets + np.arange(len(offsets))).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                names.append(every[at])
+                held.append(ids[a:b])
+                at, size = at + 1, size + b - a
+                if len(held) >= docs or size >= most:
+                    yield names, held
+                    names, held, size = [], [], 0
     if held:
         yield names, held
 
 
-class Index:
-    """BM25 inverted index of one shard."""
-
-    def __init__(self, held: list[bytes]):
-        n = len(held)
-        lengths = np.fromiter((len(x) // 4 for x in held), np.int64, n)
-        doc = np.repeat(np.arange(n), lengths)
-        key = (doc << 20) | np.frombuffer(b"".join(held), "<u4")
-        key, tf = np.unique(key, return_counts=True)
-        doc, term = key >> 20, key & 0xFFFFF
-        vocab, term = np.unique(term, return_inverse=True)
-        df = np.bincount(term, minlength=len(vocab))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        # Terms of one document alone find nobody.
-        shared = df[term] > 1
-        doc, term, weight = doc[shared], term[shared], weight[shared]
-        self.of = np.searchsorted(doc, np.arange(n + 1))
-        self.terms = term
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.at = np.searchsorted(term[order], np.arange(len(vocab) + 1))
-        self.n = n
-
-    def scores(self, d: int) -> np.ndarray:
-        """BM25 of every document for the distinct terms of document ``d``."""
-        terms = self.terms[self.of[d] : self.of[d + 1]]
-        first, size = self.at[terms], self.at[terms + 1] - self.at[terms]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(self.n)
-        where = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
-        return np.bincount(self.doc[where], self.weight[where], self.n)
-
-
-def retrieval_pack(held: list[bytes], length: int = LENGTH) -> list[Piece]:
-    """Pieces of one shard, window by window."""
-    index, size = Index(held), [len(x) // 4 for x in held]
-    unused, out, windows = np.ones(len(held), bool), [], []
-    seeds, carried = iter(range(len(held))), None
-    while True:
-        if carried is None:
-            seed = next((d for d in seeds if unused[d]), None)
-            if seed is None:
-                break
-            unused[seed], carried = False, (seed, 0)
-        window, room = [], length
-        d, start = carried
-        carried, order, rank = None, None, 0
-        while True:
-            take = min(room, size[d] - start)
-            window.append((d, start, take))
-            room -= take
-            if take < size[d] - start:
-                carried = (d, start + take)
-            if not room:
-                break
-            if order is None:
-                score = index.scores(window[0][0])
-                free = np.flatnonzero(unused)
-                order = free[np.argsort(-score[free], kind="stable")]
-            if rank == len(order):
-                break
-            d, start = int(order[rank]), 0
-            rank += 1
-            unused[d] = False
-        windows.append(window)
-    n = 0
-    for window in windows:
-        total = sum(p[2] for p in window)
-        room = length if total == length else 1 << (total.bit_length() - 1)
-        offset = 0
-        for d, start, take in window:
-            while take:
-                part = min(take, room - offset)
-                out.append((d, start, part, n, offset))
-                start, take, offset, total = start + part, take - part, offset + part, total - part
-                if offset == room:
-                    n, offset = n + 1, 0
-                    room = 1 << (total.bit_length() - 1) if total else 0
-    return out
-
-
 class Rooms:
     """Segment tree over room 0..length: which sequence has the least room that is enough."""
 
@@ -177,11 +90,11 @@ class Rooms:
         return room, sequence
 
 
-def best_fit_pack(held: list[bytes], length: int = LENGTH) -> list[Piece]:
+def best_fit_pack(held: list[np.ndarray], length: int = LENGTH) -> list[Piece]:
     """Pieces of one shard by best-fit decreasing."""
     pieces, out, n = [], [], 0
     for d, x in enumerate(held):
-        size = len(x) // 4
+        size = len(x)
         for start in range(0, size - length + 1, length):
             out.append((d, start, length, n, 0))
             n += 1
@@ -199,23 +112,6 @@ def best_fit_pack(held: list[bytes], length: int = LENGTH) -> list[Piece]:
     return sorted(out, key=lambda p: p[3:])
 
 
-def _numbered(pack: Callable[[list[bytes]], list[Piece]], docs: int, path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[Piece]]]:
-    base = TaskContext.get().partitionId() << 36
-    for names, held in shards(batches, path, docs):
-        found = pack(held)
-        found = [(d, start, size, base + s, offset) for d, start, size, s, offset in found]
-        base += 1 + max(p[3] for p in found) - base
-        yield names, held, found
-
-
-def _piece_batch(names: list, held: list[bytes], found: list[Piece]) -> pa.RecordBatch:
-    crc = zlib.crc32
-    doc, start, size, sequence, offset = (list(c) for c in zip(*found, strict=True))
-    check = [crc(memoryview(held[d])[4 * a : 4 * (a + n)]) for d, a, n in zip(doc, start, size, strict=True)]
-    columns = [[names[d] for d in doc], start, size, check, [len(held[d]) // 4 for d in doc], sequence, offset]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-
 def retrieval_pieces(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece of retrieval packing, with neighbours from the whole table."""
     return retrieval.pieces(docs, path, LENGTH, PIECES)
@@ -224,64 +120,71 @@ def retrieval_pieces(docs: DataFrame, path: str) -> DataFrame:
 MATRIX = "sequence_id long, n_ids int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
 
 
+def width(path: str) -> str:
+    """Type of a stored id: 16 bits if the vocabulary fits, else 32."""
+    return "<u2" if len(encoder(path).automaton.labels) <= 1 << 16 else "<u4"
+
+
 def matrices(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per best-fit sequence.
 
-    ids: ``length`` little-endian unsigned 16-bit ids, zero after the first n_ids; cu_seqlens: 0 and
-    the end of each piece; positions: as many 16-bit positions, from 0 again in each piece;
-    doc_ids, starts, doc_tokens: document, first id and size of the document for each piece.
+    ids: ``length`` little-endian unsigned ids of ``width(path)``, zero after the first n_ids; cu_seqlens:
+    0 and the end of each piece; positions: as many 16-bit positions (32-bit if ``length`` needs them), from
+    0 again in each piece; doc_ids, starts, doc_tokens: document, first id and size of the document for
+    each piece.
     """
+    kind, place = width(path), "<u2" if length <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, held, found in _numbered(lambda h: best_fit_pack(h, length), BFD_DOCS, path, batches):
-            for i in range(0, len(found), 4096):  # by whole sequences, some MB at a time
-                while 0 < i < len(found) and found[i][3] == found[i - 1][3]:
-                    i += 1
-                end = min(len(found), i + 4096)
-                while end < len(found) and found[end][3] == found[end - 1][3]:
-                    end += 1
-                if i < end:
-                    yield _matrix(names, held, found[i:end], length)
+        base = TaskContext.get().partitionId() << 36
+        for names, held in shards(batches, path, BFD_DOCS):
+            found = best_fit_pack(held, length)
+            cuts = [i for i, p in enumerate(found) if p[4] == 0]  # where sequences begin
+            for i in range(0, len(cuts), 512):  # some MB at a time
+                end = cuts[i + 512] if i + 512 < len(cuts) else len(found)
+                yield _matrix(names, held, found[cuts[i] : end], length, base, kind, place)
+            base += len(cuts)
 
     return docs.select("doc_id", "text").mapInArrow(run, MATRIX)
 
 
-def _matrix(names: list, held: list[bytes], found: list[Piece], length: int) -> pa.RecordBatch:
+def _matrix(names: list, held: list[np.ndarray], found: list[Piece], length: int, base: int, kind: str, place: str) -> pa.RecordBatch:
     doc, start, size, sequence, offset = (np.array(c) for c in zip(*found, strict=True))
     first = np.flatnonzero(offset == 0)
     row = np.cumsum(offset == 0) - 1
-    ids = np.zeros((len(first), length), "<u2")
-    places = np.zeros((len(first), length), "<u2")
+    ids = np.zeros((len(first), length), kind)
+    places = np.zeros((len(first), length), place)
+    count = np.arange(length, dtype=place)
     for r, d, a, n, o in zip(row.tolist(), doc.tolist(), start.tolist(), size.tolist(), offset.tolist(), strict=True):
-        ids[r, o : o + n] = np.frombuffer(held[d], "<u4", n, 4 * a)
-        places[r, o : o + n] = np.arange(n)
+        ids[r, o : o + n] = held[d][a : a + n]
+        places[r, o : o + n] = count[:n]
     edges = np.append(first, len(doc))
     total = np.add.reduceat(size, first)
     lists = pa.array(edges, pa.int32())
     ends = [[0, *(offset[a:b] + size[a:b]).tolist()] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     of = lambda x: pa.ListArray.from_arrays(lists, pa.array(x, pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(sequence[first]), pa.array(total, pa.int32()), pa.array([x.tobytes() for x in ids]), pa.array(ends, pa.list_(pa.int32())), pa.array([x.tobytes() for x in places]), of([names[d] for d in doc]), of(start), of([len(held[d]) // 4 for d in doc])],
+        [pa.array(base + sequence[first]), pa.array(total, pa.int32()), pa.array([x.tobytes() for x in ids]), pa.array(ends, pa.list_(pa.int32())), pa.array([x.tobytes() for x in places]), of([names[d] for d in doc]), of(start), of([len(held[d]) for d in doc])],
         ["sequence_id", "n_ids", "ids", "cu_seqlens", "positions", "doc_ids", "starts", "doc_tokens"],
     )
 
 
 def write_matrices(docs: DataFrame, path: str, to: str, length: int = LENGTH) -> None:
     """Write the packed matrices as Parquet; each row is one fixed-size record of the matrix."""
-    matrices(docs, path, length).write.parquet(to)
+    matrices(docs, path, length).write.option("compression", "zstd").parquet(to)
 
 
-def matrix_pieces(packed: DataFrame) -> DataFrame:
+def matrix_pieces(packed: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per piece of ``matrices``, with checksums taken from the packed ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 256):
             out: list[list] = [[] for _ in range(9)]
             for row in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "n_ids", "ids", "cu_seqlens", "positions", "doc_ids", "starts", "doc_tokens")), strict=True):
                 sequence, n, ids, ends, places, names, starts, sizes = row
-                x, p = np.frombuffer(ids, "<u2").astype("<u4"), np.frombuffer(places, "<u2")
+                x, p = np.frombuffer(ids, f"<u{len(ids) // length}").astype("<u4"), np.frombuffer(places, f"<u{len(places) // length}")
                 for a, b, name, start, size in zip(ends[:-1], ends[1:], names, starts, sizes, strict=True):
-                    for c, v in zip(out, (name, start, b - a, zlib.crc32(x[a:b].tobytes()), size, sequence, a, n, bool(p[a] == 0 and p[b - 1] == b - a - 1)), strict=True):
+                    for c, v in zip(out, (name, start, b - a, zlib.crc32(x[a:b]), size, sequence, a, n, bool(p[a] == 0 and p[b - 1] == b - a - 1)), strict=True):
                         c.append(v)
             types = [pa.int64()] * 8 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_ids", "resets"])
@@ -294,4 +197,7 @@ def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix_pieces(matrices(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path()))
+    """Packed matrices are written to the shared folder; the query's rows are read back from them."""
+    to = scratch(spark, "matrices")
+    write_matrices(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(), to)
+    return matrix_pieces(spark.read.schema(MATRIX).parquet(to))

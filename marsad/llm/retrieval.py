@@ -1,330 +1,241 @@
-"""Retrieval packing with one BM25 over the whole corpus, in rounds of seeds.
-
-The corpus is encoded once and kept as an index of blocks of documents; document frequencies and the
-mean length are the corpus's. In a round a set of seeds (carried rests first, then unused documents in
-order, at most an eighth of the unused) is scored against every unused document of every block, and
-the best ``KEEP`` of all blocks are merged. The driver fills the windows in order of seeds, best unused
-neighbour first; a window whose list runs dry stays open for the next round. The last ``TAIL``
-documents are scored on the driver, seed by seed.
-
-The driver holds flags and sizes of documents, the document frequencies and one round's seeds.
+"""Retrieval packing: a BM25 inverted index in shards, whose unused neighbours fill a seed's window.
+
+1. Texts are encoded once; ids are written to the shared folder.
+2. Document frequencies of terms (token ids) and the mean length are the whole corpus's. The driver
+   holds a number for each token of the vocabulary, however long the corpus.
+3. A document is routed by its leading terms, those of the greatest BM25 weight: all documents are
+   range partitioned and sorted by them, so documents with the same leading terms lie in one shard of
+   the index wherever they stood in the table. Rows with the same terms are told apart by their place
+   in the input, so a hot group is spread over tasks.
+4. In a shard (``SHARD_DOCS`` documents or ``SHARD_IDS`` ids) an inverted index answers for each
+   seed with all unused documents in order of BM25 score, and they fill its window greedily. A
+   document that does not fit whole goes on in the next window and seeds it. A window that has used up
+   a shard goes on in the next one; a task's last window is cut at powers of two, without padding.
+
+Each document is used exactly once. A seed's list is its shard's: what lies in others is not asked
+for, which keeps the work linear (README has the loss against asking all of them).
+
+Defined cases: null text is empty (its final id alone); null ids are carried; repeated rows are packed
+each; ties in score go to the earlier place in the shard; very long texts fill windows of their own and
+are never cut short; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marsad.llm.bpe import encoder
 from marsad.llm.common import materialise, small
 
 K1, B = 1.2, 0.75
-KEEP, SEEDS, TAIL, BLOCK = 32, 4096, 1024, 1024
-WIDE = 2048
-FLUSH = 1 << 19
-_END = np.array([1], "<u4").tobytes()
-_INDEX = "pos binary, size binary, count binary, terms binary, tf binary"
+SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
+#: Terms that route a document.
+LEADING = 4
+END = 1
+
+#: (doc_id, ids with the final one)
+Doc = tuple[int | None, np.ndarray]
+#: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
+Piece = tuple[int | None, int, int, int, int, int, int]
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """task, k (which row of the task), doc_id, ids (16-bit, with the final one)."""
+    """at (place in the input), doc_id, ids (little-endian 32 bits, with the final one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, k, task = encoder(path), 0, TaskContext.get().partitionId()
-        for batch in small(batches):
-            ids = [np.frombuffer(x + _END, "<u4").astype("<u2").tobytes() for x in e.many(batch.column("text").to_pylist())]
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(k, k + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["task", "k", "doc_id", "ids"])
-            k += n
+        e, place = encoder(path), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            names, at = batch.column("doc_id").cast(pa.int64()), 0
+            for ids, offsets in e.batch(batch.column("text")):
+                n = len(offsets) - 1
+                ids = np.insert(ids, offsets[1:], END).astype("<u4")
+                edges = (offsets + np.arange(n + 1)) * 4
+                data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), names.slice(at, n), data.cast(pa.binary())], ["at", "doc_id", "ids"])
+                at, place = at + n, place + n
 
-    return docs.select("doc_id", "text").mapInArrow(run, "task int, k long, doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "at long, doc_id long, ids binary")
 
 
-def index(held: DataFrame) -> DataFrame:
-    """Blocks of documents (pos, ids) as arrays: pos, size, count of distinct terms; terms and tf one after another."""
+def terms_of(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of all documents, in order."""
+    doc = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
+    key = doc << 32 | np.concatenate(held) if held else doc
+    if len(held) <= 1 << 12 and len(key) and int((key & 0xFFFFFFFF).max()) < 1 << 20:  # half as wide sorts in half the time
+        narrow, count = np.unique(((key >> 32) << 20 | key & 0xFFFFF).astype(np.uint32), return_counts=True)
+        return (narrow >> np.uint32(20)).astype(np.int64), (narrow & np.uint32(0xFFFFF)).astype(np.int64), count
+    key, count = np.unique(key, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, BLOCK):
-            ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            found = [np.unique(x, return_counts=True) for x in ids]
-            parts = [np.array(batch.column("pos").to_pylist(), np.int64), np.array([len(x) for x in ids], np.int32), np.array([len(t) for t, _ in found], np.int32), np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]).astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["pos", "size", "count", "terms", "tf"])
 
-    return held.select("pos", "ids").mapInArrow(run, _INDEX)
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("pos", "size", "count", "terms", "tf")), strict=True):
-            yield [np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint16, np.uint32), strict=True)]
+class Corpus:
+    """What BM25 needs of the whole corpus: idf of each term, mean length."""
 
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.mean = df, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
-def frequencies(blocks: DataFrame) -> np.ndarray:
-    """Documents with each term, over the whole corpus."""
+    def weight(self, term: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / self.mean))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for block in _blocks(batches):
-            total += np.bincount(block[3], minlength=1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["df"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for x in batch.column("df").to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["df"])
-
-    out = np.zeros(1 << 16, np.int64)
-    for r in blocks.mapInArrow(count, "df binary").repartition(1).mapInArrow(add, "df binary").collect():
-        out += np.frombuffer(r.df, np.int64)
-    return out
-
-
-def scorer(seeds: list[np.ndarray], df: np.ndarray, n: int, mean: float) -> Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Function of a block and the mask of its unused documents: their pos, and scores (seed x document).
-
-    Terms of over a 64th of all documents go through dense products, the others through postings.
-    """
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-    terms = np.concatenate(seeds).astype(np.int64) if seeds else np.empty(0, np.int64)
-    often = np.flatnonzero(64 * df > n)
-    place = np.full(1 << 16, -1, np.int64)
-    place[often] = np.arange(len(often))
-    dense = []
-    for a in range(0, len(often), WIDE):
-        m = np.zeros((len(seeds), min(WIDE, len(often) - a)), np.float32)
-        at = place[terms]
-        inside = (at >= a) & (at < a + m.shape[1])
-        m[owner[inside], at[inside] - a] = 1
-        dense.append(m)
-    thin = (place[terms] < 0) & (df[terms] > 1)
-    thin_owner, thin_terms = owner[thin], terms[thin]
-
-    def score(block: list[np.ndarray], free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pos, size, count, t, tf = block
-        of = np.repeat(np.arange(len(pos)), count)
-        good = free[of]
-        doc, t, tf = (np.cumsum(free) - 1)[of[good]], t[good].astype(np.int64), tf[good].astype(np.float32)
-        norm = (K1 * (1 - B + B * size[free] / mean)).astype(np.float32)
-        weight = idf[t] * tf * np.float32(K1 + 1) / (tf + norm[doc])
-        total, at = np.zeros((len(seeds), int(free.sum())), np.float32), place[t]
-        for i, m in enumerate(dense):
-            w = np.zeros((m.shape[1], total.shape[1]), np.float32)
-            inside = (at >= i * WIDE) & (at < i * WIDE + m.shape[1])
-            w[at[inside] - i * WIDE, doc[inside]] = weight[inside]
-            total += m @ w
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(t[rare], kind="stable")]
-        first, last = np.searchsorted(t[rare], thin_terms), np.searchsorted(t[rare], thin_terms, "right")
-        many = last - first
-        where = rare[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        np.add.at(total.reshape(-1), np.repeat(thin_owner, many) * total.shape[1] + doc[where], weight[where])
-        return pos[free], total
-
-    return score
-
-
-def keyed(pos: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Score in thousandths and order of arrival in one number, the best the largest."""
-    return (np.rint(total * 1000).astype(np.int64) << 32) | (0xFFFFFFFF - pos)
-
-
-def best(keys: np.ndarray, keep: int) -> np.ndarray:
-    return np.partition(keys, keys.shape[1] - keep, axis=1)[:, -keep:] if keys.shape[1] > keep else keys
-
-
-def hits(blocks: DataFrame, seeds: list[np.ndarray], used: np.ndarray, df: np.ndarray, mean: float) -> list[list[int]]:
-    """For each seed the best ``KEEP`` unused documents of the whole corpus, best first."""
-    bits, n, keep = np.packbits(used), len(used), KEEP
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, taken = scorer(seeds, df, n, mean), np.unpackbits(bits, count=n).astype(bool)
-        top = np.empty((len(seeds), 0), np.int64)
-        for block in _blocks(batches):
-            free = ~taken[block[0]]
-            if free.any():
-                top = best(np.concatenate((top, keyed(*score(block, free))), 1), keep)
-        if top.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(seeds)), pa.int32()), pa.array([x.tobytes() for x in top])], ["seed", "keys"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, x in zip(batch.column("seed").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                x = np.concatenate((held.get(s, np.empty(0, np.int64)), np.frombuffer(x, np.int64)))
-                held[s] = best(x[None], keep)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.sort(x)[::-1].tobytes() for x in held.values()], pa.binary())], ["seed", "keys"])
+def statistics(held: DataFrame, vocabulary: int) -> Corpus:
+    """Over all documents; a task sends a row for each term it met, and those are added up by term."""
 
-    out: list[list[int]] = [[] for _ in seeds]
-    parts = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for r in blocks.mapInArrow(search, "seed int, keys binary").repartition(parts, "seed").mapInArrow(merge, "seed int, keys binary").collect():
-        out[r.seed] = (0xFFFFFFFF - (np.frombuffer(r.keys, np.int64) & 0xFFFFFFFF)).tolist()
-    return out
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary + 2, np.int64)  # then documents, ids
+        for batch in small(batches):
+            ids = _arrays(batch)
+            total[:-2] += np.bincount(terms_of(ids)[1], minlength=vocabulary)
+            total[-2:] += len(ids), sum(map(len, ids))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
+    total = np.zeros(vocabulary + 2, np.int64)
+    for r in held.select("ids").mapInArrow(count, "term long, n long").groupBy("term").sum("n").collect():
+        total[r[0]] = r[1]
+    return Corpus(total[:-2], int(total[-2]), float(total[-1]) / max(1, int(total[-2])))
 
-def fetch(blocks: DataFrame, wanted: list[int]) -> dict[int, tuple]:
-    """(size, terms, tf) of the documents at some positions."""
-    some = np.unique(np.array(wanted, np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pos, size, count, terms, tf in _blocks(batches):
-            ends = np.cumsum(count)
-            for i in np.flatnonzero(np.isin(pos, some)).tolist():
-                a, b = int(ends[i] - count[i]), int(ends[i])
-                yield pa.RecordBatch.from_arrays([pa.array([int(pos[i])]), pa.array([int(size[i])]), pa.array([terms[a:b].tobytes()]), pa.array([tf[a:b].tobytes()])], ["pos", "size", "terms", "tf"])
+def routed(held: DataFrame, corpus: Corpus) -> DataFrame:
+    """``held`` in range partitions by leading terms, sorted."""
 
-    return {r.pos: (r.size, np.frombuffer(r.terms, np.uint16), np.frombuffer(r.tf, np.uint32)) for r in blocks.mapInArrow(run, "pos long, size long, terms binary, tf binary").collect()}
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            ids = _arrays(batch)
+            doc, term, count = terms_of(ids)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            weight = np.where(corpus.df[term] > 1, corpus.weight(term, count, size[doc]), 0)  # a term of one document finds nobody
+            order = np.lexsort((term, -weight, doc))
+            rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(ids)))[doc[order]]
+            columns = []
+            for r in range(LEADING):
+                at, lead = order[rank == r], np.full(len(ids), -1, np.int32)
+                lead[doc[at]] = np.where(weight[at] > 0, term[at], -1)
+                columns.append(pa.array(lead))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"t{r}" for r in range(LEADING))])
+
+    keys = [f"t{r}" for r in range(LEADING)] + ["at"]
+    rows = held.mapInArrow(lead, "at long, doc_id long, ids binary, " + ", ".join(f"t{r} int" for r in range(LEADING)))
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+
+class Index:
+    """Inverted index of one shard, with the corpus's statistics."""
+
+    def __init__(self, held: list[np.ndarray], corpus: Corpus):
+        doc, term, count = terms_of(held)
+        size = np.fromiter(map(len, held), np.int64, len(held))
+        order = np.argsort(term, kind="stable")
+        self.doc, term = doc[order], term[order]
+        self.weight = corpus.weight(term, count[order], size[self.doc])
+        self.terms, first = np.unique(term, return_index=True)
+        self.at, self.n = np.append(first, len(term)), len(held)
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """BM25 of every document for the distinct terms of ``ids``."""
+        found = np.unique(ids)
+        where = np.searchsorted(self.terms, found)
+        where = where[(where < len(self.terms)) & (self.terms[np.minimum(where, len(self.terms) - 1)] == found)]
+        first, size = self.at[where], self.at[where + 1] - self.at[where]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 class Windows:
-    """Windows in work: [seed document, start of its rest, pieces, room]."""
-
-    def __init__(self, sizes: np.ndarray, length: int):
-        self.sizes, self.length, self.used = sizes, length, np.zeros(len(sizes), bool)
-        self.open: list[list] = []
-        self.done: list[tuple] = []
-        self.n, self.next = 0, 0
-
-    def seed(self, many: int) -> None:
-        while len(self.open) < many and self.next < len(self.sizes):
-            if not self.used[self.next]:
-                self.used[self.next] = True
-                self._start(self.next, 0)
-            self.next += 1
-
-    def _close(self, pieces: list[tuple]) -> None:
+    """Windows of one task, filled from one shard after another."""
+
+    def __init__(self, length: int, number: int = 0):
+        self.length, self.number = length, number
+        self.window: list[tuple[Doc, int, int]] = []
+        self.room, self.seed = length, None
+
+    def _close(self, pieces: list[tuple[Doc, int, int]]) -> Iterator[Piece]:
         offset = 0
-        for d, start, take in pieces:
-            self.done.append((d, start, take, self.n, offset))
+        for (name, ids), start, take in pieces:
+            yield name, start, take, zlib.crc32(ids[start : start + take]), len(ids), self.number, offset
             offset += take
-        self.n += 1
-
-    def _start(self, d: int, start: int) -> None:
-        size = int(self.sizes[d])
-        while size - start >= self.length:
-            self._close([(d, start, self.length)])
-            start += self.length
-        if start < size:
-            self.open.append([d, [(d, start, size - start)], self.length - (size - start)])
-
-    def fill(self, lists: list[list[int]]) -> None:
-        """Fill the open windows, in order, from their lists."""
-        now, self.open = self.open, []
-        for window, found in zip(now, lists, strict=True):
-            _, pieces, room = window
-            for d in found:
-                if self.used[d]:
-                    continue
-                self.used[d] = True
-                take = min(room, int(self.sizes[d]))
-                pieces.append((d, 0, take))
-                room -= take
-                if not room:
-                    self._close(pieces)
-                    self._start(d, take)
+        self.number += 1
+
+    def add(self, doc: Doc) -> Iterator[Piece]:
+        start, size = 0, len(doc[1])
+        while start < size:
+            if self.seed is None:
+                self.seed = doc
+            take = min(self.room, size - start)
+            self.window.append((doc, start, take))
+            start, self.room = start + take, self.room - take
+            if not self.room:
+                yield from self._close(self.window)
+                self.window, self.room, self.seed = [], self.length, None
+
+    def shard(self, held: list[Doc], corpus: Corpus) -> Iterator[Piece]:
+        index, unused, at = Index([x for _, x in held], corpus), np.ones(len(held), bool), 0
+        while True:
+            if self.seed is None:
+                while at < len(held) and not unused[at]:
+                    at += 1
+                if at == len(held):
+                    return
+                unused[at] = False
+                yield from self.add(held[at])
+                continue
+            free = np.flatnonzero(unused)
+            if not len(free):
+                return
+            score, seed = index.scores(self.seed[1])[free], self.seed
+            for d in free[np.argsort(-score, kind="stable")].tolist():
+                unused[d], number = False, self.number
+                yield from self.add(held[d])
+                if self.number != number or self.seed is not seed:
                     break
-            else:
-                window[2] = room
-                self.open.append(window)
-
-    def finish(self) -> None:
-        """What is left goes end to end; the last window is cut at powers of two."""
-        pieces, room = [], self.length
-        for d, start, size in [p for w in self.open for p in w[1]]:
-            while size:
-                take = min(room, size)
-                pieces.append((d, start, take))
-                start, size, room = start + take, size - take, room - take
-                if not room:
-                    self._close(pieces)
-                    pieces, room = [], self.length
-        self.open = []
-        total, part = sum(p[2] for p in pieces), []
+
+    def finish(self) -> Iterator[Piece]:
+        """The last window, cut at powers of two."""
+        total, part = self.length - self.room, []
         room = 1 << (total.bit_length() - 1) if total else 0
-        for d, start, size in pieces:
+        for doc, start, size in self.window:
             while size:
                 take = min(room, size)
-                part.append((d, start, take))
+                part.append((doc, start, take))
                 start, size, room, total = start + take, size - take, room - take, total - take
                 if not room:
-                    self._close(part)
+                    yield from self._close(part)
                     part, room = [], 1 << (total.bit_length() - 1) if total else 0
+        self.window, self.room, self.seed = [], self.length, None
+
+
+def piece_batch(found: list[Piece]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
 def pieces(docs: DataFrame, path: str, length: int, kind: str) -> DataFrame:
     """One row per piece; ``kind`` is their schema."""
-    spark = docs.sparkSession
-    held = materialise(encoded(docs, path), "ids")
-    counts = sorted((r.task, r["count"]) for r in held.groupBy("task").count().collect())
-    if not counts:
-        return spark.createDataFrame([], kind)
-    starts = np.concatenate(([0], np.cumsum([c for _, c in counts])))
-    offset = F.create_map(*[F.lit(int(x)) for (t, _), s in zip(counts, starts, strict=False) for x in (t, s)])
-    held = held.withColumn("pos", (F.element_at(offset, F.col("task")) + F.col("k")).cast("long"))
-    blocks = materialise(index(held), "index")
-    n = int(starts[-1])
-    sizes = np.zeros(n, np.int32)
-    for r in blocks.select("pos", "size").toLocalIterator():
-        sizes[np.frombuffer(r.pos, np.int64)] = np.frombuffer(r.size, np.int32)
-    df, mean = frequencies(blocks), float(sizes.mean())
-    w, written = Windows(sizes, length), []
-
-    def flush(least: int) -> None:
-        if len(w.done) > least:
-            columns = [pa.array(c, pa.int64()) for c in zip(*w.done, strict=True)]
-            written.append(materialise(spark.createDataFrame(pa.table(columns, ["pos", "start", "length", "sequence_id", "offset"])), "pieces"))
-            w.done = []
-
-    while True:
-        left = n - int(w.used.sum())
-        if left <= TAIL:
-            break
-        w.seed(min(SEEDS, max(1, left // 8)))
-        if not w.open:
-            continue
-        now = w.open[:SEEDS]
-        later, w.open = w.open[SEEDS:], now
-        terms = fetch(blocks, [x[0] for x in now])
-        w.fill(hits(blocks, [terms[x[0]][1] for x in now], w.used, df, mean))
-        w.open += later
-        flush(FLUSH)
-    rest = np.flatnonzero(~w.used).tolist()
-    local = fetch(blocks, rest + [x[0] for x in w.open])
-    while True:
-        if not w.open:
-            w.seed(1)
-            if not w.open:
-                break
-        free = [d for d in rest if not w.used[d]]
-        if not free:
-            break
-        block = [np.array(free), np.array([local[d][0] for d in free]), np.array([len(local[d][1]) for d in free]), np.concatenate([local[d][1] for d in free]), np.concatenate([local[d][2] for d in free])]
-        later, w.open = w.open[1:], w.open[:1]
-        key = keyed(*scorer([local[w.open[0][0]][1]], df, n, mean)(block, np.ones(len(free), bool)))[0]
-        w.fill([(0xFFFFFFFF - (np.sort(key)[::-1] & 0xFFFFFFFF)).tolist()])
-        w.open += later
-    w.finish()
-    flush(0)
-    found = written[0]
-    for x in written[1:]:
-        found = found.union(x)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            crc, total = [], []
-            for x, a, m in zip(batch.column("ids"), batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                crc.append(zlib.crc32(ids[a : a + m].astype("<u4").tobytes()))
-                total.append(len(ids))
-            c = batch.column
-            yield pa.RecordBatch.from_arrays([c("doc_id"), c("start"), c("length"), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), c("sequence_id"), c("offset")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return found.join(held.select("pos", "doc_id", "ids"), "pos").select("doc_id", "ids", "start", "length", "sequence_id", "offset").mapInArrow(check, kind)
+    held = materialise(encoded(docs, path), "ids", compression="zstd")
+    corpus = statistics(held, len(encoder(path).automaton.labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, some, size = Windows(length, TaskContext.get().partitionId() << 36), [], 0
+        for batch in small(batches, 256):
+            for name, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                some.append((name, np.frombuffer(ids, "<u4")))
+                size += len(some[-1][1])
+                if len(some) >= SHARD_DOCS or size >= SHARD_IDS:
+                    yield piece_batch(list(windows.shard(some, corpus)))
+                    some, size = [], 0
+        if some:
+            yield piece_batch(list(windows.shard(some, corpus)))
+        yield piece_batch(list(windows.finish()))
+
+    return routed(held, corpus).mapInArrow(run, kind)

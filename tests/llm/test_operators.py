@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marsad.llm import ann_forest, bpe, catalog, packing, quality_forest, repeats, secret_scan, simhash, suffix_dedup, url_filter
+from marsad.llm import ann_forest, bpe, catalog, packing, quality_forest, repeats, retrieval, secret_scan, simhash, suffix_dedup, url_filter
 from tests.llm.conftest import PASSAGE, ROWS
 
 SMALL = "/root/testdata/sf0.001"
@@ -197,22 +199,41 @@ def test_codec_matches_the_library(spark, corpus, library):
     assert all(r.ids == library.encode(dict(TEXTS)[r.doc_id], add_special_tokens=False).ids for r in plain if r.doc_id != 6)
 
 
-def test_both_ways_of_encoding_match_the_library(library):
+def test_encoding_matches_the_library(library):
     rng = random.Random(4)
-    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aab", "theinr", "aeio '", "!#$%&*'-.,;:<>|ab1", "àéñüßöÉÑ .", "abcé中Ω١²́\x1c\xa0 İΣṩ<|endoftext|>"]
-    texts = ["".join(rng.choice(a) for _ in range(rng.choice([1, 4, 9, 30]))) for a in alphabets for _ in range(400)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aab", "theinr", "aeio '", "!#$%&*'-.,;:<>|ab1", "àéñüßöÉÑ .", "abcé中Ω١²́\x1c\xa0 İΣṩ<|endoftext|>", "a\0b×÷ĮįAZ09 "]
+    texts = ["".join(rng.choice(a) for _ in range(rng.choice([1, 4, 9, 30, 70]))) for a in alphabets for _ in range(400)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     e = bpe.Encoder(bpe.vocabulary_path())
-    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(bpe.Encoder(bpe.vocabulary_path()).many(texts)) == want
-    assert [e.ids(t) for t in texts] == want
+    assert [x.tolist() for x in e.many(texts)] == want
+    assert [x.tolist() for x in e.many(texts[::-1])] == want[::-1]
 
 
-def test_forgetting_changes_nothing(library, monkeypatch):
+def test_words_abreast_and_alone_take_the_same_path(library):
+    rng = random.Random(8)
+    a = bpe.encoder(bpe.vocabulary_path()).automaton
+    words = ["".join(rng.choice("aabeéinstß") for _ in range(rng.randrange(1, 47))).encode() for _ in range(500)]
+    ids, count = a.words(words)
+    cut = np.cumsum(count)[:-1]
+    assert [x.tolist() for x in np.split(ids, cut)] == [a.word(w) for w in words]
+
+
+def test_an_unbroken_word_takes_linear_time(library):
+    rng = random.Random(9)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    began = time.perf_counter()
+    got = bpe.Encoder(bpe.vocabulary_path()).ids(word)
+    assert time.perf_counter() - began < 30
+    assert got.tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_forgetting_and_cutting_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
     e = bpe.Encoder(bpe.vocabulary_path())
-    texts = [f"some words{i} more, Words again." for i in range(40)]
-    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert [e.ids(t) for t in texts] == want and list(e.many(texts)) == want
+    texts = [f"some words{i} more, Words again. " * (1 + 7 * (i % 3)) for i in range(40)] + [None, ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.many(texts)] == want
 
 
 # --- 6 quality
@@ -342,13 +363,36 @@ def test_packing_keeps_every_id_once(spark, corpus, library, name):
     assert set(cover.values()) <= {1, 2} and all((v == 2) == (i == 6) for (i, _), v in cover.items())  # document 6 is there twice
 
 
+def test_index_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    held = [rng.integers(0, 30, rng.integers(1, 40)).astype("<u4") for _ in range(50)]
+    sets = [Counter(x.tolist()) for x in held]
+    df = np.array([sum(t in s for s in sets) for t in range(30)])
+    mean = sum(map(len, held)) / 50
+    index = retrieval.Index(held, retrieval.Corpus(df, 50, mean))
+    for q in (0, 7):
+        want = [sum(math.log1p((50 - df[t] + 0.5) / (df[t] + 0.5)) * s[t] * 2.2 / (s[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in sets[q] if t in s) for s, x in zip(sets, held)]
+        assert np.allclose(index.scores(held[q]), want)
+
+
 def test_neighbours_fill_a_seeds_window():
-    ids = lambda *x: np.array(x, "<u4").tobytes()
-    held = [ids(*[5, 6, 7, 8] * 4), ids(*[50, 60] * 8), ids(*[5, 6, 9] * 5), ids(*[70, 80] * 8)]
-    first = [p[0] for p in packing.retrieval_pack(held, 32) if p[3] == 0]
-    assert first[:2] == [0, 2]
-    index = packing.Index(held)
-    assert index.scores(0)[2] > index.scores(0)[1] == index.scores(0)[3] == 0
+    ids = lambda *x: np.array(x, "<u4")
+    held = list(enumerate([ids(*[5, 6, 7, 8] * 4), ids(*[50, 60] * 8), ids(*[5, 6, 9] * 5), ids(*[70, 80] * 8)]))
+    corpus = retrieval.Corpus(np.where(np.isin(np.arange(100), (5, 6)), 2, 1), 4, 16.0)
+    w = retrieval.Windows(32)
+    found = [*w.shard(held, corpus), *w.finish()]
+    assert [p[0] for p in found if p[5] == 0][:2] == [0, 2]
+    room = Counter()
+    for p in found:
+        room[p[5]] += p[2]
+    assert sum(room.values()) == 63 and all(n == 32 or n & (n - 1) == 0 for n in room.values())  # full, or a power of two
+
+
+def test_padding_of_retrieval_is_none(spark, corpus):
+    room = Counter()
+    for p in catalog.QUERIES["op8_retrieval_packing"](spark, corpus).collect():
+        room[p.sequence_id] += p.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in room.values())
 
 
 def test_segment_tree_finds_the_least_room():
@@ -371,7 +415,7 @@ def test_segment_tree_finds_the_least_room():
 def test_best_fit_is_tight_and_matrices_hold_the_ids(spark, tmp_path):
     rng = random.Random(1)
     sizes = [rng.choice([3, 500, 1000, 1500, 2048, 5000]) for _ in range(200)]
-    found = packing.best_fit_pack([b"\0\0\0\0" * n for n in sizes])
+    found = packing.best_fit_pack([np.zeros(n, "<u4") for n in sizes])
     used = len({p[3] for p in found})
     assert used <= 1.05 * sum(sizes) / 2048 + 1
     df = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")

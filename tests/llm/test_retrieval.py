@@ -1,14 +1,10 @@
 from collections import Counter, defaultdict
 
-import pytest
+from marsad.llm import bpe, packing
 
-from marsad.llm import bpe, packing, retrieval
 
-
-@pytest.mark.parametrize("tail", [0, 1024])
-def test_neighbours_come_from_other_tasks(spark, monkeypatch, tail):
-    """Search ended with one task's documents: with pairs in different tasks no seed found its partner."""
-    monkeypatch.setattr(retrieval, "TAIL", tail)
+def test_neighbours_come_from_other_tasks(spark):
+    """Documents with the same leading terms share a shard, whatever task read them."""
     names = "river castle engine garden winter silver monkey planet doctor bridge cotton letter".split()
     topic = lambda k: f"{names[k]} " * 300
     rows = [(k + 12 * half, topic(k)) for half in (0, 1) for k in range(12)]
@@ -21,5 +17,5 @@ def test_neighbours_come_from_other_tasks(spark, monkeypatch, tail):
         cover[p.doc_id] += p.length
         by[p.sequence_id].append((p.offset, p.doc_id))
     assert cover == total and len(total) == 24
-    first = [d for _, d in sorted(by[min(by)])]
-    assert first[:2] == [0, 12]
+    pairs = [{d for _, d in some} for some in by.values()]
+    assert all(any({k, k + 12} <= p for p in pairs) for k in range(12))
