@@ -120,20 +120,15 @@ def retrieval_pieces(docs: DataFrame, path: str) -> DataFrame:
 MATRIX = "sequence_id long, n_ids int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
 
 
-def width(path: str) -> str:
-    """Type of a stored id: 16 bits if the vocabulary fits, else 32."""
-    return "<u2" if len(encoder(path).automaton.labels) <= 1 << 16 else "<u4"
-
-
 def matrices(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per best-fit sequence.
 
-    ids: ``length`` little-endian unsigned ids of ``width(path)``, zero after the first n_ids; cu_seqlens:
+    ids: ``length`` little-endian unsigned ids of ``retrieval.width(path)``, zero after the first n_ids; cu_seqlens:
     0 and the end of each piece; positions: as many 16-bit positions (32-bit if ``length`` needs them), from
     0 again in each piece; doc_ids, starts, doc_tokens: document, first id and size of the document for
     each piece.
     """
-    kind, place = width(path), "<u2" if length <= 1 << 16 else "<u4"
+    kind, place = retrieval.width(path), "<u2" if length <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
