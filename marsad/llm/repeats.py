@@ -6,10 +6,11 @@ the one with the smallest hash. Equal windows have equal anchors, so all of them
 that the anchor's hash names. Consecutive windows with one anchor make a run.
 
 Round 1 sends only anchor hashes (each once per pack, however often a pack repeats it) and gets a bit
-back: repeated or not. Round 2 sends the runs of repeated anchors; what comes back are bit masks of
-windows. A message is one row for a pack and a shard with arrays inside; shards grow in number with
-the input, so a task's share stays bounded. Only packs' texts and these messages are shuffled, and
-nothing is collected.
+back: repeated or not. Round 2 sends the strings under runs of repeated anchors, each distinct string
+once per pack, however many documents of the pack hold it; what comes back are bit masks of windows.
+What a pack's own copies decide (``Folded.first``) needs no answer and goes straight to the last round.
+A message is one row for a pack and a shard with arrays inside; shards grow in number with the input,
+so a task's share stays bounded. Only packs' texts and these messages are shuffled, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marsad.llm.common import discard, materialise, small
+from marsad.llm.common import materialise, small
 
 PACK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 8 << 20, 24
 LAST = np.int64(2**63 - 1)
@@ -130,12 +131,13 @@ def gram_hash(symbols: np.ndarray, k: int, seed: int = _M) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: anchor hash, first window, number of windows, document."""
+    """Runs of windows with one anchor: anchor hash, first window, number of windows, document, anchor's place."""
 
     anchor: np.ndarray
     first: np.ndarray
     count: np.ndarray
     doc: np.ndarray
+    place: np.ndarray
 
 
 def find_runs(symbols: np.ndarray, sizes: np.ndarray, length: int, k: int) -> Runs:
@@ -144,7 +146,7 @@ def find_runs(symbols: np.ndarray, sizes: np.ndarray, length: int, k: int) -> Ru
     assert w <= 64
     if n <= 0:
         none = np.empty(0, np.int64)
-        return Runs(none.astype(np.uint64), none, none, none)
+        return Runs(none.astype(np.uint64), none, none, none, none)
     h = gram_hash(symbols, k)
     low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -169,7 +171,7 @@ def find_runs(symbols: np.ndarray, sizes: np.ndarray, length: int, k: int) -> Ru
     first, count = first[good], count[good]
     doc = np.searchsorted(ends, first, side="right")
     # A run never crosses documents: the windows before a border are not valid.
-    return Runs(h[place[first]] >> np.uint64(6), first, count, doc)
+    return Runs(h[place[first]] >> np.uint64(6), first, count, doc, place[first])
 
 
 def _split(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -180,6 +182,67 @@ def _split(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(s[a]), order[a:b]) for a, b in zip(cut, [*cut[1:], len(s)], strict=True)]
 
 
+@dataclass
+class Told:
+    """Strings of a message, and the runs (first window) that stand for them."""
+
+    doc: np.ndarray  # smallest document of each string
+    anchor: np.ndarray  # 32 bits of its hash
+    count: np.ndarray  # windows
+    place: np.ndarray  # of the anchor in the string
+    strings: list[bytes]
+    first: np.ndarray
+    which: np.ndarray
+
+    _TYPES = (("doc", "<i8"), ("anchor", "<u4"), ("count", "u1"), ("place", "u1"))
+
+    def pack(self) -> bytes:
+        sizes = np.fromiter(map(len, self.strings), "<u4", len(self.strings))
+        head = np.array([len(self.strings), len(self.first)], "<u4")
+        parts = [head, *(getattr(self, n).astype(t) for n, t in self._TYPES), sizes, self.first.astype("<u4"), self.which.astype("<u4")]
+        return squeeze(b"".join([x.tobytes() for x in parts] + self.strings))
+
+    @classmethod
+    def unpack(cls, body: bytes) -> Told:
+        raw = expand(body)
+        n, m = np.frombuffer(raw, "<u4", 2).tolist()
+        at, out = 8, []
+        for t, k in (*((t, n) for _, t in cls._TYPES), ("<u4", n), ("<u4", m), ("<u4", m)):
+            out.append(np.frombuffer(raw, t, k, at).astype(np.int64))
+            at += k * np.dtype(t).itemsize
+        ends = (at + np.cumsum(out[4])).tolist()
+        return cls(*out[:4], [raw[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)], out[5], out[6])
+
+
+@dataclass
+class Folded:
+    """Distinct strings to tell, and the runs (first, mask) that the pack's own copies decide."""
+
+    told: Told
+    first: np.ndarray
+    mask: np.ndarray
+
+
+def fold(pack: Pack, runs: Runs, chosen: np.ndarray, strings: list[bytes], apart: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Folded:
+    """``strings`` of the chosen runs, each once. ``apart(doc, least, copies)`` says of each run, by its
+    document, the smallest document with its string and the number of copies, whether they decide it."""
+    known: dict[bytes, int] = {}
+    which = np.fromiter((known.setdefault(x, len(known)) for x in strings), np.int64, len(strings))
+    doc = pack.ids[runs.doc[chosen]]
+    order = np.lexsort((doc, which))
+    _, at = np.unique(which[order], return_index=True)
+    head = order[at]  # of each string, a run in its smallest document
+    own = apart(doc, doc[head][which], np.bincount(which)[which]) if len(chosen) else np.empty(0, bool)
+    every, lead = runs.count[chosen], chosen[head]
+    told = Told(doc[head], (runs.anchor[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64), runs.count[lead], runs.place[lead] - runs.first[lead], list(known), runs.first[chosen][~own], which[~own])
+    return Folded(told, runs.first[chosen][own], (np.uint64(1) << every[own].astype(np.uint64)) - np.uint64(1))
+
+
+def masks_body(first: np.ndarray, mask: np.ndarray) -> bytes:
+    on = mask != 0
+    return squeeze(first[on].astype("<u4").tobytes() + mask[on].astype("<u8").tobytes())
+
+
 MESSAGE = "shard long, pack long, body binary"
 REPLY = "pack long, shard long, body binary"
 
@@ -269,8 +332,8 @@ def marked(n: int, first: np.ndarray, mask: np.ndarray, length: int) -> np.ndarr
 
 
 def find(docs: DataFrame, label: str, symbols, length: int, k: int, several, tell, decide, finish, schema: str) -> DataFrame:
-    """The whole exchange. ``tell(pack, symbols, runs, chosen)`` makes the body of a round 2 message,
-    ``decide(bodies)`` the (first, mask) arrays for each of them, ``finish(pack, first, mask)`` rows."""
+    """The whole exchange. ``tell(pack, runs, chosen)`` folds the strings of a round 2 message,
+    ``decide(told)`` makes the masks of each message's strings, ``finish(pack, first, mask)`` rows."""
     packs = make_packs(docs, f"{label}-packs")
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
@@ -283,19 +346,23 @@ def find(docs: DataFrame, label: str, symbols, length: int, k: int, several, tel
                 p = load(row)
                 s, sizes = symbols(p)
                 runs = find_runs(s, sizes, length, k)
-                out += [(shard, row["pack"], tell(p, s, runs, chosen)) for shard, chosen in selected(runs, shards, several, replies)]
+                own = []
+                for shard, chosen in selected(runs, shards, several, replies):
+                    f = tell(p, runs, chosen)
+                    own.append((f.first, f.mask))
+                    out.append((shard, row["pack"], f.told.pack()))
+                if any(len(first) for first, _ in own):  # a group of its own, which passes through
+                    out.append((-1 - row["pack"], row["pack"], masks_body(*map(np.concatenate, zip(*own, strict=True)))))
         return _batch(["shard", "pack", "body"], *(map(list, zip(*out, strict=True)) if out else ([], [], [])))
 
     def answer(group: pa.Table) -> pa.Table:
-        found = decide(group.column("body").to_pylist())
+        packs_, shards_, bodies = (group.column(c).to_pylist() for c in ("pack", "shard", "body"))
+        if shards_[0] < 0:
+            return _batch(["pack", "shard", "body"], packs_, shards_, bodies)
+        told = [Told.unpack(b) for b in bodies]
+        found = [(t.first, m[t.which]) for t, m in zip(told, decide(told), strict=True)]
         some = [i for i, (_, m) in enumerate(found) if m.any()]
-        body = []
-        for i in some:
-            first, mask = found[i]
-            on = mask != 0
-            body.append(squeeze(first[on].astype("<u4").tobytes() + mask[on].astype("<u8").tobytes()))
-        packs_, shards_ = group.column("pack").to_pylist(), group.column("shard").to_pylist()
-        return _batch(["pack", "shard", "body"], [packs_[i] for i in some], [shards_[i] for i in some], body)
+        return _batch(["pack", "shard", "body"], [packs_[i] for i in some], [shards_[i] for i in some], [masks_body(*found[i]) for i in some])
 
     told = packs.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(ask, MESSAGE)
     masks = materialise(told.groupBy("shard").applyInArrow(answer, REPLY), f"{label}-masks")
@@ -313,5 +380,3 @@ def extras(pack: Pack) -> pa.Table | None:
     """The further columns of a pack's documents."""
     return pa.ipc.open_stream(expand(pack.extra[0])).read_all() if pack.extra[0] else None
 
-
-__all__ = ["LAST", "Pack", "Runs", "discard", "expand", "extras", "find", "gram_hash", "marked", "short", "squeeze"]

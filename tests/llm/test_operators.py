@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marsad.llm import ann_forest, bpe, catalog, packing, quality_forest, repeats, retrieval, secret_scan, simhash, suffix_dedup, url_filter
+from marsad.llm import ann_forest, bpe, catalog, packing, quality_forest, repeats, retrieval, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 from tests.llm.conftest import PASSAGE, ROWS
 
 SMALL = "/root/testdata/sf0.001"
@@ -171,12 +171,57 @@ def test_repeats_across_many_packs(spark, tmp_path, tiny_packs):
     assert rows(catalog.QUERIES["op4_substring_dedup"](spark, str(tmp_path))) == py_words(texts)
 
 
-def test_windows_come_in_suffix_order():
+def test_collections_hold_the_transform_and_common_prefixes():
     rng = random.Random(2)
-    strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(5, 40))) for _ in range(200)]
-    who, at = suffix_dedup.sorted_windows(strings, 5)
-    got = [strings[w][a:] for w, a in zip(who, at, strict=True)]
-    assert got == sorted(got) and len(got) == sum(len(s) - 4 for s in strings)
+    for strings in ([bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(0, 40))) for _ in range(60)], [b"aaaa", b"aaa", b"aaaa"], [b"", b"x"], []):
+        c = suffix_dedup.Collection(strings, 9)
+        rows = c.suffixes()
+        of = {int(rows[i, k]): (s[k:], i) for i, s in enumerate(strings) for k in range(len(s))}
+        got = [of[r][0] for r in sorted(of)]
+        assert got == sorted(got) and sorted(of) == list(range(len(strings), len(c.key)))
+        prefix = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        want = [0, *(min(9, prefix(x, y)) for x, y in zip(got, got[1:]))][: len(got)]
+        assert c.common[len(strings) :].tolist() == want
+
+
+def test_one_line_in_every_document(spark, tmp_path, tiny_packs):
+    line = "this very common line of more than fifty bytes stands in every document of the corpus without any exception, " * 3
+    texts = [(i, f"own words of document {i} {i * i} " * (i % 3) + line + f" end {i}") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(catalog.QUERIES["op3_suffix_dedup"](spark, str(tmp_path))) == py_bytes(texts)
+    assert rows(catalog.QUERIES["op4_substring_dedup"](spark, str(tmp_path))) == py_words(texts)
+
+
+def test_copies_in_a_pack_are_told_once():
+    text = ("a passage of some length that stands in many documents of one and the same pack of texts " * 2).encode()
+    pack = repeats.Pack(np.arange(50), np.full(50, len(text)), text * 50, [])
+    symbols, sizes = suffix_dedup._symbols(pack)
+    runs = repeats.find_runs(symbols, sizes, 50, 20)
+    f = suffix_dedup._tell(pack, runs, np.arange(len(runs.first)))
+    assert len(f.told.strings) < len(runs.first) / 40 and f.told.doc.max() == 0
+    again = repeats.Told.unpack(f.told.pack())
+    assert again.strings == f.told.strings and all((getattr(again, n) == getattr(f.told, n)).all() for n in ("doc", "anchor", "count", "place", "first", "which"))
+
+
+@pytest.mark.parametrize("hashes", ["real", "all alike"])
+def test_words_decide_and_not_their_hashes(monkeypatch, hashes):
+    if hashes == "all alike":
+        monkeypatch.setattr(substring_dedup, "window_hash", lambda words: np.zeros(max(0, len(words) - 34), np.uint64))
+    rng = random.Random(6)
+    anchor = [f"anchor{k}" for k in range(8)]
+    sides = [([rng.choice("ab") for _ in range(27)], [rng.choice("ab") for _ in range(27)]) for _ in range(4)]
+    strings, place, count = [], [], []
+    for _ in range(40):
+        left, right = rng.choice(sides)[0][rng.randrange(20) :], rng.choice(sides)[1]
+        right = right[: rng.randrange(27 - len(left), 28)]
+        strings.append(" ".join(left + anchor + right).encode())
+        place.append(len(left))
+        count.append(len(left) + 8 + len(right) - 34)
+    got = substring_dedup.repeated_windows(strings, np.array(place), np.array(count))
+    words = [s.split() for s in strings]
+    seen = Counter(tuple(w[k : k + 35]) for w, n in zip(words, count) for k in range(n))
+    want = [sum((seen[tuple(w[k : k + 35])] > 1) << k for k in range(n)) for w, n in zip(words, count)]
+    assert got.tolist() == want and 0 in want and any(want)
 
 
 # --- 5 tokens
