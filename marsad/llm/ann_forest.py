@@ -2,10 +2,10 @@
 
 Vectors are dealt over shards by a hash of their id, so a shard's size is bounded and no cluster or
 copy group lands in one task. A shard keeps, for each of ``TREES`` trees, its vectors' hash strings
-(``BITS`` signs of random projections around the shard's mean) as one sorted array. A query descends
+(``BITS`` random projections, each cut at its median over the shard) as one sorted array. A query descends
 every tree to its longest matching prefix by binary search, then all trees ascend together, one bit
-at a time, and the ranges under the shorter prefixes are united until ``CANDIDATES`` of the shard
-have been met. Candidates are ranked by exact distance, a shard returns its k best, and a window
+at a time, and the ranges under the shorter prefixes are united until a share ``CANDIDATES`` of the shard
+(and ``LEAST`` vectors) have been met. Candidates are ranked by exact distance, a shard returns its k best, and a window
 merges them.
 
 Queries meet shards in a grid: a block of ``QUERY_BLOCK`` queries and a shard make one group. The
@@ -13,7 +13,8 @@ number of groups is shards times blocks; a group's memory is constant.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor
 do null ids; repeated rows (same id and vector) count once; vectors only meet vectors of their own
-length; with fewer candidates than k all are returned; empty tables give empty results.
+length, of any length; ties in distance go to the smaller vec_id; with fewer candidates than k all are returned;
+other columns, whatever their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from marsad.llm.common import table
 TREES, BITS, SEED = 64, 32, 11
 SHARD, QUERY_BLOCK = 8192, 4096
 #: Share of a shard, and least number, that a query ascends to.
-CANDIDATES, LEAST = 0.5, 1024
 K = 10
+CANDIDATES, LEAST = 0.5, 25 * K
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -38,8 +39,8 @@ class Forest:
 
     def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED):
         self.trees, self.bits = trees, bits
-        self.middle = x.mean(0)
         self.planes = np.random.default_rng(seed).normal(size=(x.shape[1], trees * bits))
+        self.middle = np.median(x @ self.planes, axis=0)
         h = self.strings(x)
         self.order = np.argsort(h, axis=1, kind="stable")
         self.sorted = np.take_along_axis(h, self.order, 1)
@@ -47,7 +48,7 @@ class Forest:
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """Hash strings, the first bit highest: an array of unsigned integers for each tree."""
-        signs = ((x - self.middle) @ self.planes > 0).reshape(len(x), self.trees, self.bits)
+        signs = (x @ self.planes > self.middle).reshape(len(x), self.trees, self.bits)
         return (signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).T.copy()
 
     def ranges(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    The setting is read from the session; a folder of our own is set only where there is none,
-    as in tests on one machine.
+    The setting is read from the session. Where there is none, a folder of our own serves a session on
+    one machine, as in tests; on a cluster that would be each executor's own disk, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints/marsad"
     return f"{base.rstrip('/')}/marsad-{label}-{uuid.uuid4().hex}"
 
@@ -57,5 +59,21 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+#: A key with so many rows, and a thousandth of all, is spread over so many salts.
+HOT_ROWS, SALTS = 2000, 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys of ``rows`` that hold a thousandth of them or more (and ``HOT_ROWS``): a thousand keys at most."""
+    least = max(HOT_ROWS, rows.count() // 1000)
+    return materialise(rows.groupBy(key).count().filter(F.col("count") >= least).select(F.col(key).alias("_hot")), "hot")
+
+
+def spread_join(rows: DataFrame, key: str, by: list[str], table: DataFrame, of: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined on ``key`` to ``table``, which is unique in ``of``; hot keys go over salts of ``by``."""
+    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)  # bounded: a thousand keys
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0))
+    right = table.join(hot, F.col(of) == F.col("_hot"), "left").withColumn("_salt2", F.explode(salts)).drop("_hot")
+    return left.join(right, (F.col(key) == F.col(of)) & (F.col("_salt") == F.col("_salt2")), how).drop("_salt", "_salt2")

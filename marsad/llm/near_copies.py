@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marsad.llm import simhash
-from marsad.llm.common import materialise, small
+from marsad.llm.common import materialise, small, spread_join
 
 LEAST, WORDS = 0.8, 5
 SLOTS, PARTS = 1 << 18, 16
@@ -215,12 +215,12 @@ def similar(docs: DataFrame, least: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, th, comp for every row of ``docs`` (doc_id, text): rows of one comp are near copies."""
     rows = materialise(prints(docs), "prints")
-    label = simhash.components(simhash.links(rows.select("fp").distinct()))
-    rows = rows.join(label, "fp", "left").select("doc_id", "th", "node", F.coalesce("comp", "fp").alias("g"))
+    label = simhash.components(simhash.links(rows.select("fp").distinct())).withColumnRenamed("fp", "of")
+    rows = spread_join(rows, "fp", ["doc_id", "th"], label, "of", "left").select("doc_id", "th", "node", F.coalesce("comp", "fp").alias("g"))
     rows = materialise(rows, "rows")
     least = materialise(rows.groupBy("node").agg(F.min("g").alias("least")), "least")
     within = rows.select("node", "g").distinct().join(least, "node").filter(F.col("g") != F.col("least")).select(F.col("g").alias("a"), F.col("least").alias("b"))
     across = similar(docs, least).join(least.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
     across = across.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = simhash.components(within.union(across).distinct()).withColumnRenamed("fp", "g")
-    return rows.join(label, "g", "left").select("doc_id", "th", F.coalesce("comp", "g").alias("comp"))
+    label = simhash.components(within.union(across).distinct()).withColumnRenamed("fp", "of")
+    return spread_join(rows, "g", ["doc_id", "th"], label, "of", "left").select("doc_id", "th", F.coalesce("comp", "g").alias("comp"))

@@ -1,17 +1,19 @@
 """Secret scans with corpus-wide ownership frequency. Spark functions only.
 
 Findings of three base kinds come from fixed patterns. A fourth, broader kind (long credential-like
-runs) is only believed when its hash belongs to few owners: strings that many owners share are
-copied examples, strings of one owner look live. Hashes are counted over the whole corpus by
-distinct owner and distinct repository.
+runs) is only believed when its hash belongs to few owners and few repositories: strings that
+``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOS`` repositories share are copied examples, the others look
+live. Hashes are counted over the whole corpus by distinct owner and distinct repository.
 
 Offsets: Spark has no position-returning regex function, so a text is split by the pattern; the
 lengths of pieces and matches, summed in order by a window over one text's findings, give code
-point offsets. Texts leave the plan before the first shuffle; only findings are shuffled.
+point offsets. Texts are scanned once; only findings (hashes and lengths, no secret) leave that pass, to the
+shared folder, from where both spans and ownership are taken.
 
 Defined cases: null text is the empty text; null ids are kept and carried; repeated rows each get
-the same findings; null owner or repository counts as one owner or repository of its own; empty
-tables give empty results; other columns are ignored.
+the same findings; null owner or repository counts as one owner or repository of its own; ties in start go
+by kind; very long texts are scanned whole, as one row (their pieces become lengths before they are taken
+apart); empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marsad.llm.common import table
+from marsad.llm.common import materialise, table
 
 KINDS = ("assign", "access", "hex", "live")
 PATTERNS = (
@@ -39,22 +41,27 @@ MIN_ASSIGNED = 6
 MIN_DIGITS, MIN_LETTERS = 4, 4
 #: From so many owners on, a string is a copied example.
 EXAMPLE_OWNERS = 3
+#: So many repositories of fewer owners make one, too.
+EXAMPLE_REPOS = 6
 SALTS = 16
 
 
 def _found(docs: DataFrame, text: Column, owner: Column, repo: Column) -> DataFrame:
-    """One row per match: doc_id, h, owner, repo, kind, n, gap, hit, value; no text."""
+    """One row per match: doc_id, h, owner, repo, kind, n, gap, len, vh (hash of the value), good."""
     d = docs.select("doc_id", text.alias("t"), owner.alias("owner"), repo.alias("repo"))
     tests = [F.col("t").rlike(p) for p in PATTERNS[1:3]] + [F.col("t").rlike(BROAD_TEST), F.col("t").rlike(ASSIGN_TEST) & F.col("t").rlike(PATTERNS[0])]
     d = d.filter(reduce(Column.__or__, tests))
+    count = lambda v, others: F.char_length(F.regexp_replace(v, others, ""))
+    judged = (lambda v: F.char_length(v) >= MIN_ASSIGNED, lambda v: F.lit(True), lambda v: F.lit(True), lambda v: (count(v, "[^0-9]") >= MIN_DIGITS) & (count(v, "[^A-Za-z]") >= MIN_LETTERS))
+    value = lambda good: lambda v: F.struct(F.xxhash64(v).alias("vh"), good(v).alias("good"))
     kinds = F.array(
         *[
             F.struct(
                 F.lit(k).alias("kind"),
                 F.arrays_zip(
-                    F.split("t", p, -1).alias("gap"),
-                    F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias("hit"),
-                    F.regexp_extract_all("t", F.lit(p), F.lit(2 if k == 0 else 0)).alias("value"),
+                    F.transform(F.split("t", p, -1), F.char_length).alias("gap"),
+                    F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.char_length).alias("len"),
+                    F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(2 if k == 0 else 0)), value(judged[k])).alias("value"),
                 ).alias("m"),
             )
             for k, p in enumerate(PATTERNS)
@@ -62,42 +69,38 @@ def _found(docs: DataFrame, text: Column, owner: Column, repo: Column) -> DataFr
     )
     d = d.select("doc_id", F.xxhash64("t").alias("h"), "owner", "repo", F.explode(kinds).alias("k"))
     d = d.select("doc_id", "h", "owner", "repo", "k.kind", F.posexplode("k.m").alias("n", "m"))
-    return d.filter(F.col("m.hit").isNotNull()).select(
-        "doc_id", "h", "owner", "repo", "kind", "n", F.char_length("m.gap").alias("gap"), F.char_length("m.hit").alias("len"), F.col("m.value").alias("value")
-    )
+    return d.filter(F.col("m.len").isNotNull()).select("doc_id", "h", "owner", "repo", "kind", "n", "m.gap", "m.len", "m.value.vh", "m.value.good")
 
 
-def findings(docs: DataFrame, text: str = "text", owner: str = "source", repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def findings(docs: DataFrame, text: str = "text", owner: str = "source", repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Spans of all kinds: doc_id, h (hash of the text), kind, start, end, owners, repos, live."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = _found(docs, t, F.coalesce(F.col(owner).cast("string"), F.lit("\0")), F.coalesce(repo if repo is not None else F.col(owner), F.lit("\0")))
-    one = rows.groupBy("doc_id", "h", "kind", "n").agg(F.first("gap").alias("gap"), F.first("len").alias("len"), F.first("value").alias("value"))
+    rows = materialise(rows, "findings")
+    one = rows.groupBy("doc_id", "h", "kind", "n").agg(*[F.first(x).alias(x) for x in ("gap", "len", "vh", "good")])
     order = Window.partitionBy("doc_id", "h", "kind").orderBy("n")
     spans = one.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
-    digits = F.char_length(F.regexp_replace("value", "[^0-9]", ""))
-    letters = F.char_length(F.regexp_replace("value", "[^A-Za-z]", ""))
-    good = F.when(F.col("kind") == 0, F.char_length("value") >= MIN_ASSIGNED).when(F.col("kind") == 3, (digits >= MIN_DIGITS) & (letters >= MIN_LETTERS)).otherwise(True)
-    spans = spans.filter(good)
+    spans = spans.filter("good")
     base = F.col("kind") < 3
     up = Window.partitionBy("doc_id", "h").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("doc_id", "h").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("before", F.max(F.when(base, F.col("end"))).over(up)).withColumn("after", F.min(F.when(base, F.col("start"))).over(down))
     clear = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
-    spans = spans.filter(base | clear).select("doc_id", "h", "kind", "start", "end", F.xxhash64("value").alias("vh"))
+    spans = spans.filter(base | clear).select("doc_id", "h", "kind", "start", "end", "vh")
 
     # Ownership: distinct (hash, owner, repository) first, so that a hash copied a million times
     # reaches the counting task as one row per owner and repository.
-    held = rows.select(F.xxhash64("value").alias("vh"), "owner", "repo").distinct()
+    held = rows.select("vh", "owner", "repo").distinct()
     owned = held.groupBy("vh").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     owned = owned.select("vh", "owners", "repos", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spans = spans.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")).join(owned, ["vh", "salt"]).drop("salt", "vh")
-    spans = spans.withColumn("live", F.col("owners") < example_owners)
+    spans = spans.withColumn("live", (F.col("owners") < example_owners) & (F.col("repos") < example_repos))
     return spans.filter((F.col("kind") < 3) | F.col("live"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row per row of ``docs``: doc_id, h, n_* per kind, base (array), spans (array), n_live, n_example."""
-    found = findings(docs, text, owner, repo, example_owners)
+    found = findings(docs, text, owner, repo, example_owners, example_repos)
     n = lambda c: F.count(F.when(c, 1))
     per = found.groupBy("doc_id", "h").agg(
         *[n(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],

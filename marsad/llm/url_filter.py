@@ -1,13 +1,15 @@
 """URL filtering: host/path rules, then a blocked Bloom filter before an exact join. Spark functions only.
 
-The list is a table of canonical URLs. Its Bloom filter has a fixed number of 512-bit blocks, so the
-only thing that is broadcast is at most ``blocks`` rows of eight longs, however long the list is; a
-longer list passes more false hits and never gives a wrong answer. Possible hits alone are shuffled,
-to a hash join on the exact canonical URL that removes the false ones; that join is salted, as one
-URL may be on very many pages.
+The list is a table of canonical URLs. Its Bloom filter has 512-bit blocks, ``BITS_EACH`` bits for each
+listed URL, up to ``MOST_BLOCKS`` blocks: what is broadcast is at most that many rows of eight longs (32 MB),
+whatever the list; a list beyond some 20 million URLs passes more false hits and never gives a wrong
+answer. Possible hits alone are shuffled, to a hash join on the exact canonical URL that removes the
+false ones; that join is salted, as one URL may be on very many pages.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule, is in no
-list and is allowed; repeated rows are judged each; empty tables give empty results.
+list and is allowed; of rules that fit the longest (host and path together) wins, and of equally long
+ones the later in the list; repeated rows are judged each; very long URLs are judged whole; other columns, whatever
+their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marsad.llm.common import table
+from marsad.llm.common import materialise, table
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -25,7 +27,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-BLOCKS, SALTS = 8192, 16
+BITS_EACH, LEAST_BLOCKS, MOST_BLOCKS, SALTS = 12, 64, 1 << 19, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't change the page.
 NOISE = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
@@ -65,18 +67,25 @@ def _bits(url: Column, blocks: int) -> list[Column]:
     return [F.pmod(a, F.lit(blocks)).cast("int"), *[F.shiftrightunsigned(b, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(8)]]
 
 
-def bloom(listed: DataFrame, col: str = "canon", blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(listed: DataFrame) -> int:
+    """Blocks of the filter by the length of the list, within bounds."""
+    n = listed.count()
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (BITS_EACH * n // 512).bit_length()))
+
+
+def bloom(listed: DataFrame, col: str, blocks: int) -> DataFrame:
     """(block, w0..w7): at most ``blocks`` rows; partial aggregation makes it one small shuffle."""
     block, *bits = _bits(F.col(col), blocks)
     rows = listed.select(block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     return rows.groupBy("block").agg(*[F.bit_or(F.expr(f"shiftleft(1L, b{i})")).alias(f"w{i}") for i in range(8)])
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict, maybe (the Bloom filter's word) and listed.
 
     ``listed``: one column canon, any number of copies. A listed page is blocked unless a rule fits.
     """
+    blocks = blocks or blocks_for(listed)
     rows = pages.select("page_id", *[c.alias(n) for c, n in zip(parts(F.col("url")), ("host", "path", "query"), strict=True)])
     rows = rows.withColumn("canon", canonical(F.col("host"), F.col("path"), F.col("query"))).drop("query")
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
@@ -97,14 +106,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS
 
 
 def listed_urls(pages: DataFrame, under: str = "ads-track.example.com") -> DataFrame:
-    """The query's list: canonical URLs of all pages on advertising hosts."""
+    """The query's list, as the tables hold none: canonical URLs of all pages on advertising hosts, and of
+    all that were linked with a campaign's parameter (whoever links to them without it, too)."""
     host, path, query = parts(F.col("url"))
-    return pages.filter((host == under) | host.endswith(f".{under}")).select(canonical(host, path, query).alias("canon")).distinct()
+    chosen = (host == under) | host.endswith(f".{under}") | query.rlike("(^|&)utm_")
+    return pages.filter(chosen).select(canonical(host, path, query).alias("canon")).distinct()
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    return judge(pages, listed_urls(pages)).drop("maybe")
+    return judge(pages, materialise(listed_urls(pages), "listed")).drop("maybe")
 
 
 OP2_SQL = r"""
@@ -117,12 +128,13 @@ WITH cut AS (
          regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
   FROM cut
 ), canon AS (
-  SELECT page_id, host, path,
+  SELECT page_id, host, path, query,
          regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
          || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canon
   FROM (SELECT *, regexp_replace(regexp_replace(query, '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS q FROM part)
 ), listed AS (
   SELECT DISTINCT canon AS c FROM canon WHERE host = 'ads-track.example.com' OR ends_with(host, '.ads-track.example.com')
+     OR regexp_matches(query, '(^|&)utm_')
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'

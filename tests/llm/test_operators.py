@@ -68,6 +68,14 @@ def test_owner_specific_strings_are_added_and_copied_ones_are_not(spark):
     assert got == {1: [(4, 4 + len(mine))], 2: [], 3: [], 4: [], 5: []}
 
 
+def test_repositories_decide_too(spark):
+    wide, narrow = "Zx81-QwErTy_7731-PoIuZ", "Ab12-QwErTy_7731-PoIuZ"
+    texts = [(i, f"see {wide} here", "one", f"repo{i}") for i in range(6)] + [(10 + i, f"see {narrow} here", "one", f"repo{i}") for i in range(5)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.n_live, r.max_repos) for r in secret_scan.scan(df, repo=F.col("repo")).collect()}
+    assert got == {i: (0, 0) for i in range(6)} | {10 + i: (1, 5) for i in range(5)}
+
+
 def test_redaction_merges_overlaps(spark):
     df = spark.createDataFrame([(1, 'x token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" y', "s", 5), (2, None, "s", 0), (3, "clean", "s", 5)], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df, secret_scan.scan(df)).collect()}
@@ -103,6 +111,16 @@ def test_a_crowded_bloom_filter_is_never_wrong(spark):
     assert {r.page_id for r in got if r.verdict == "block"} == set(range(0, 400, 3))
     assert len(got) == 400 and all(r.maybe for r in got if r.listed)
     assert sum(r.maybe for r in url_filter.judge(pages, listed).collect()) < 200
+    assert url_filter.blocks_for(listed) == url_filter.LEAST_BLOCKS
+
+
+def test_the_exact_join_decides(spark, tmp_path):
+    """A campaign's link lists the page itself; others on its host are free; names inside do not clash."""
+    urls = ["http://h.net/p?utm_source=a", "http://www.h.net/p/", "http://h.net/q", "http://h.net/p?x=1"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2, "page_id long, url string")
+    df.select("*", *[F.lit("x").alias(n) for n in ("host", "path", "rule", "canon", "block", "w0", "b0", "s", "c", "salt")]).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.page_id, r.verdict) for r in catalog.QUERIES["op2_url_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([(0, "block"), (1, "block"), (2, "allow"), (3, "allow")] * 2)
 
 
 def test_urls_against_sql(spark):
@@ -381,10 +399,46 @@ def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
     x[1:100] = x[0] ^ (np.uint64(1) << rng.integers(0, 64, 99).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 99).astype(np.uint64))
-    got = simhash._members(simhash._within(simhash._planes(x), int(x[5])), len(x))
+    got = simhash._members(simhash._within(simhash._planes(x), len(x), int(x[5]))[0], len(x))
     assert got.tolist() == [i for i in range(300) if (int(x[i]) ^ int(x[5])).bit_count() <= 3]
 
 
+@pytest.mark.parametrize("n", [64, 100, 1000, 5000])
+def test_far_blocks_are_abandoned(n):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**64, n, dtype=np.uint64)
+    near, read = simhash._within(simhash._planes(x), n, 0)
+    assert not simhash._members(near, n).size and read <= 32 * simhash._planes(x).shape[1]
+    x[-1] = 1  # one near node keeps its own block alone
+    near, more = simhash._within(simhash._planes(x), n, 0)
+    blocks = simhash._planes(x).shape[1]
+    assert simhash._members(near, n).tolist() == [n - 1] and more <= 64 + 32 * (blocks - 1)
+
+
+def test_finer_buckets_lose_no_pair():
+    rng = random.Random(3)
+    levels = simhash.masks()
+    for _ in range(200):
+        d = sum(1 << b for b in rng.sample(range(64), 3))
+        paths = [p for p, m in enumerate(levels[0]) if not d & m]
+        for level in levels[1:]:
+            paths = [4 * p + k for p in paths for k in range(4) if not d & level[4 * p + k]]
+        assert paths
+    assert all(m.bit_count() >= 46 for m in levels[-1])
+
+
+def test_hot_fingerprint_and_star(spark, tmp_path, monkeypatch):
+    from marsad.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    texts = [(i, None if i % 2 else "the same words in every one of these copies") for i in range(400)] + [(None, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["op7_simhash"](spark, str(tmp_path)).collect()
+    assert Counter((r.fingerprint == "0" * 16, r.component_id) for r in got) == {(True, 1): 201, (False, 0): 200}
+    star = spark.createDataFrame([(i, 7) for i in range(100, 400)] + [(7, 3), (399, 1000)], "a long, b long")
+    assert {r.fp: r.comp for r in simhash.components(star).collect()} == dict.fromkeys([*range(100, 400), 7, 3, 1000], 3)
+
+
 # --- 8 and 10 packing
 
 
@@ -497,6 +551,22 @@ def test_neighbours(spark, tmp_path):
     assert hits >= 0.9 * 10 * len(by)
 
 
+def test_recall_over_several_shards_and_blocks(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    got = ann_forest.search(df, F.col("vec_id") % 20 == 0, shard=500, block=30).collect()
+    rows_ = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows_]), np.array([r.embedding for r in rows_], np.float64)
+    found = defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(found[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(found) and len(found) == 100
+
+
 def test_all_candidates_if_there_are_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann_forest.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
