@@ -33,7 +33,7 @@ _M = 0x9E3779B97F4A7C15
 
 
 def squeeze(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=3).compress(x)
 
 
 def expand(x: bytes) -> bytes:
@@ -197,9 +197,10 @@ class Told:
     _TYPES = (("doc", "<i8"), ("anchor", "<u4"), ("count", "u1"), ("place", "u1"))
 
     def pack(self) -> bytes:
-        sizes = np.fromiter(map(len, self.strings), "<u4", len(self.strings))
+        # Sizes go by what they exceed the windows, and numbers by their differences: most are alike.
+        sizes = np.fromiter(map(len, self.strings), "<i8", len(self.strings)) - self.count
         head = np.array([len(self.strings), len(self.first)], "<u4")
-        parts = [head, *(getattr(self, n).astype(t) for n, t in self._TYPES), sizes, self.first.astype("<u4"), self.which.astype("<u4")]
+        parts = [head, *(getattr(self, n).astype(t) for n, t in self._TYPES), sizes.astype("<u4"), self.first.astype("<u4"), np.diff(self.which, prepend=0).astype("<i4")]
         return squeeze(b"".join([x.tobytes() for x in parts] + self.strings))
 
     @classmethod
@@ -207,11 +208,11 @@ class Told:
         raw = expand(body)
         n, m = np.frombuffer(raw, "<u4", 2).tolist()
         at, out = 8, []
-        for t, k in (*((t, n) for _, t in cls._TYPES), ("<u4", n), ("<u4", m), ("<u4", m)):
+        for t, k in (*((t, n) for _, t in cls._TYPES), ("<u4", n), ("<u4", m), ("<i4", m)):
             out.append(np.frombuffer(raw, t, k, at).astype(np.int64))
             at += k * np.dtype(t).itemsize
-        ends = (at + np.cumsum(out[4])).tolist()
-        return cls(*out[:4], [raw[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)], out[5], out[6])
+        ends = (at + np.cumsum(out[4] + out[2])).tolist()
+        return cls(*out[:4], [raw[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)], out[5], np.cumsum(out[6]))
 
 
 @dataclass
