@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marsad.functions.lexicon import K1, B
+from marsad.functions.pin import pinned
 from marsad.functions.text import terms
+from marsad.sources.reports import saved
+
+
+#: Queries that travel together.
+QUERY_BLOCK = 1024
 
 
 class Embedder(Protocol):
@@ -72,17 +78,30 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", idx: str = "idx", digits: int = 6) -> DataFrame:
     """V2: exact inner products, best k per query: qid, idx, dense_score, dense_rank.
 
-    The queries travel to the vectors in blocks of ``1024`` as one array each, so each vector row is
-    read once per block and the window keeps k rows per query and task before its shuffle.
+    The queries travel to the vectors in blocks of about ``QUERY_BLOCK`` as one array each. One block is
+    broadcast, which its number of queries bounds; several meet the vectors by block number, so Spark
+    broadcasts them only under its own threshold. The window keeps k rows per query and task before its shuffle.
     """
-    block = queries.withColumn("_b", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(qid), F.lit(64))).orderBy(qid)) / 1024) * 64 + F.pmod(F.xxhash64(qid), F.lit(64)))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = queries.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(n)).cast("int"))
     blocks = block.groupBy("_b").agg(F.collect_list(F.struct(F.col(qid).alias("q"), F.col("embedding").alias("v"))).alias("_q"))
-    rows = vectors.join(blocks, F.lit(True), "inner").select(idx, "embedding", F.explode("_q").alias("_q"))
+    every = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = every.join(F.broadcast(blocks) if n == 1 else blocks, "_b").select(idx, "embedding", F.explode("_q").alias("_q"))
     rows = rows.select(F.col("_q.q").alias(qid), idx, F.round(dot(F.col("_q.v"), F.col("embedding")), digits).alias("dense_score"))
     order = Window.partitionBy(qid).orderBy(F.desc("dense_score"), idx)
     return rows.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
 
+def term_lists(docs: DataFrame, idx: str = "idx", text: str = "text") -> DataFrame:
+    """B1 as it is stored: idx, len (distinct terms), terms. Written once, so texts are tokenised once."""
+    return saved(pinned(docs.select(idx, text), terms=terms(F.col(text))).select(idx, F.size("terms").alias("len"), "terms"), "terms")
+
+
+def exploded(lists: DataFrame, idx: str = "idx") -> DataFrame:
+    """One row per term of ``term_lists``."""
+    return lists.select(idx, "len", F.explode("terms").alias("term"))
+
+
 def postings(docs: DataFrame, idx: str = "idx", text: str = "text") -> DataFrame:
     """B1: idx, len (distinct terms of the document) and one row per term (tf is 1 throughout)."""
     return docs.select(idx, terms(F.col(text)).alias("_t")).select(idx, F.size("_t").alias("len"), F.explode("_t").alias("term"))
@@ -92,9 +111,9 @@ def term_df(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(lists: DataFrame) -> DataFrame:
     """One row: n and avg_len; documents without terms count."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avg_len"))
+    return lists.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -102,16 +121,17 @@ def vocabulary(index: DataFrame) -> DataFrame:
     return index.select("term").distinct()
 
 
-def bm25(query_terms: DataFrame, docs: DataFrame, idx: str = "idx", text: str = "text", qid: str = "qid", digits: int = 6) -> DataFrame:
-    """B2: qid, idx, sparse_score over 0, for query_terms (qid, term).
+def bm25(query_terms: DataFrame, docs: DataFrame, idx: str = "idx", text: str = "text", qid: str = "qid", digits: int = 6, lists: DataFrame | None = None) -> DataFrame:
+    """B2: qid, idx, sparse_score over 0, for query_terms (qid, term); ``lists``: ``term_lists`` of docs, if at hand.
 
     Only postings of query terms take part: they are met by term, weighed and added up per pair, with
     partial sums before the shuffle. Document frequencies and the mean length come from aggregates of
     one row per term and one row in all.
     """
-    index = postings(docs, idx, text)
+    lists = term_lists(docs, idx, text) if lists is None else lists
+    index = exploded(lists, idx)
     wanted = query_terms.select(qid, "term").distinct()
-    stats = corpus_stats(docs, text)
+    stats = corpus_stats(lists)
     df = term_df(index.join(wanted.select("term").distinct(), "term", "left_semi"))
     weighed = wanted.join(df, "term").join(F.broadcast(stats), F.lit(True)).select(qid, "term", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
     norm = 1.0 + K1 * (1.0 - B + B * (F.greatest(F.lit(1), F.col("len")) / F.greatest(F.lit(1e-9), F.col("avg_len"))))

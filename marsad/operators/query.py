@@ -42,12 +42,16 @@ def expanded_terms(key_terms: Column, variant_list: Column) -> Column:
     return F.array_union(normalize_terms(key_terms), F.array_distinct(F.flatten(F.transform(variant_list, terms))))
 
 
+#: The largest of ``suggested_k``.
+MOST_SUGGESTED = 5
+
+
 def suggested_k(question: Column, info: Column, lex: Lexicon = ARABIC) -> Column:
     """Q7."""
     has = lambda *names: F.arrays_overlap(info["intents"], words(names))
     waws = F.char_length(question) - F.char_length(F.replace(question, F.lit(lex.waw), F.lit("")))
     long = (F.size(info["tokens"]) >= 7) | (waws >= 2 * len(lex.waw))
-    return F.when(has("list", "works", "education") | (has("temporal") & has("location")) | long, 5).when(has("location", "temporal"), 4).otherwise(3)
+    return F.when(has("list", "works", "education") | (has("temporal") & has("location")) | long, MOST_SUGGESTED).when(has("location", "temporal"), 4).otherwise(3)
 
 
 def alias_table(spark: SparkSession, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
@@ -66,7 +70,7 @@ def live_aliases(aliases: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
 def bridge(query_terms: DataFrame, aliases: DataFrame, vocabulary: DataFrame | None, qid: str = "qid") -> DataFrame:
     """Q8: qid, term, aliases (sorted; null where none is live), was_bridged; originals all stay."""
     live = live_aliases(aliases, vocabulary).groupBy("term").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-    return query_terms.join(F.broadcast(live), "term", "left").select(qid, "term", "aliases", F.col("aliases").isNotNull().alias("was_bridged"))
+    return query_terms.join(live, "term", "left").select(qid, "term", "aliases", F.col("aliases").isNotNull().alias("was_bridged"))
 
 
 def bridged_terms(bridged: DataFrame, qid: str = "qid") -> DataFrame:

@@ -10,7 +10,7 @@ from marsad.functions.pin import pinned
 from marsad.functions.text import WORD_AFTER, WORD_BEFORE, normalize_terms, terms
 from marsad.operators.chunks import reference_penalty
 from marsad.operators.index import bm25, dense_top_k, top_k
-from marsad.operators.query import analyze, expanded_terms, suggested_k, variants
+from marsad.operators.query import MOST_SUGGESTED, analyze, expanded_terms, suggested_k, variants
 
 
 def rrf(rank: Column, k: int = L.RRF_K) -> Column:
@@ -89,9 +89,7 @@ def retrieve(
     q = q.join(F.broadcast(n), F.lit(True))
     target, most = targets(F.col("n"), F.lit(k) if k else suggested_k(F.col("question"), F.col("info"), lex))
     q = q.select("qid", "info", "q_terms", normalize_terms(F.col("info.entities")).alias("q_entities"), target.cast("int").alias("target_k"), most.cast("int").alias("most"))
-    top = 20  # candidates at most: four times the largest target
-    if k:
-        top = max(4 * k, 8)
+    top = max(4 * (k or MOST_SUGGESTED), 8)  # candidates at most: four times the largest target
     dense = dense_top_k(query_vectors, vectors, top)
     sparse = top_k(bm25(q.select("qid", F.explode("q_terms").alias("term")), chunks), top)
     limits = q.select("qid", "most")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marsad.functions.lexicon import Lexicon
-from marsad.sources.reports import table
+from marsad.sources.reports import spread, table
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 #: A letter for each of the 26, with folded forms among them.
@@ -43,7 +43,7 @@ def damaged(c: Column) -> Column:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text", "lang")
+    return spread(table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

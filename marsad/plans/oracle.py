@@ -205,7 +205,7 @@ WITH t AS (
 SELECT conv_id, turn, has_url, n_urls, n_arabic, (h AND has_url) OR (n_urls >= 2 AND n_arabic < 25) AS noise, h OR has_url AS penalty FROM f"""
 
 SQL["q11_chunk_stats"] = PACK + f"""
-SELECT lang, count(*) AS chunks, round(avg(length(text)), 6) AS avg_length, 0.0::DOUBLE AS titled_share,
+SELECT lang, count(*) AS chunks, round(avg(length(text)), 6) AS avg_length, round(avg((doc_id % 3 <> 0)::INT::DOUBLE), 6) AS titled_share,
        round(avg(regexp_matches({strip("text")}, '[.؟!]$')::INT), 6) AS ended_share FROM chunk GROUP BY lang"""
 
 POSTINGS = f"""docs AS (SELECT doc_id AS idx, {terms(TXT)} AS x FROM documents),
@@ -469,8 +469,8 @@ SELECT qid, n_found, unanswerable, md5(evidence) AS evidence_md5, NOT list_has_a
 _f = FAILURES
 SQL["q34_attribution"] = f"""
 WITH {DECIDED}, rel AS (SELECT qid, bool_or({_rel} >= 0.2) AS near FROM hits JOIN documents d ON d.doc_id = idx JOIN benchmark b ON b.item_id = qid WHERE rank <= 5 GROUP BY qid),
-f AS (SELECT qid, CASE WHEN qid % 4 = 0 THEN CASE WHEN len(entities) = 0 AND len(key_terms) = 0 THEN {q(_f["C"])} ELSE {q(_f["A"])} END
-   WHEN NOT near THEN CASE WHEN length(question) - length(replace(question, 'w', '')) >= 20 OR len(key_terms) > 5 THEN {q(_f["H"])} WHEN len(entities) = 0 THEN {q(_f["C"])} ELSE {q(_f["D"])} END
+f AS (SELECT qid, CASE WHEN qid % 4 = 0 THEN CASE WHEN qid % 8 = 0 OR len(entities) = 0 AND len(key_terms) = 0 THEN {q(_f["C"])} ELSE {q(_f["A"])} END
+   WHEN NOT near THEN CASE WHEN length(question) - length(replace(question, 'w', '')) >= 20 OR len(key_terms) > 5 THEN {q(_f["H"])} WHEN len(entities) = 0 THEN {q(_f["C"])} WHEN qid % 5 >= 3 THEN {q(_f["E"])} ELSE {q(_f["D"])} END
    WHEN can_answer AND qid % 2 <> 0 THEN {q(_f["J"])} ELSE {q(_f["I"])} END AS primary_failure
   FROM fin JOIN rel USING (qid) JOIN info ON item_id = qid WHERE qid % 3 <> 2 AND answer = {q(L.REFUSAL)})
 SELECT primary_failure, count(*) AS n, round_even(100.0::DOUBLE * count(*) / nullif(sum(count(*)) OVER (), 0), 1) AS percent,
@@ -478,7 +478,8 @@ SELECT primary_failure, count(*) AS n, round_even(100.0::DOUBLE * count(*) / nul
 FROM f GROUP BY primary_failure"""
 
 SQL["q35_evidence_in_corpus"] = f"""
-WITH {POSTINGS} SELECT item_id AS qid, EXISTS (SELECT 1 FROM qterms JOIN df USING (term) WHERE qterms.qid = item_id AND length(term) >= 12) AS evidence_exists FROM benchmark"""
+WITH {POSTINGS}, own AS (SELECT item_id AS qid, unnest({terms("CASE WHEN item_id % 4 = 3 THEN 'qqzzxx' || item_id ELSE text END")}) AS term FROM benchmark)
+SELECT item_id AS qid, EXISTS (SELECT 1 FROM own JOIN df USING (term) WHERE own.qid = item_id) AS evidence_exists FROM benchmark"""
 
 _c = f"replace(replace(replace({AR_}, '. ', ' ي' || chr(10) || '.'), 'ا ', ' ي '), 'بت', 'الممل')"
 # A blank on either side of a lone ya may belong to two of them: blanks are doubled, then halved.
@@ -495,3 +496,21 @@ o AS (SELECT DISTINCT extractor, unnest(regexp_extract_all(t, {q(SUSPICIOUS)}))
 k AS (SELECT extractor, string_agg(ch, '' ORDER BY ch) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY extractor ORDER BY ch) AS n FROM o) WHERE n <= 20 GROUP BY extractor),
 s AS (SELECT extractor, sum(length(t))::BIGINT AS length, sum({nonspace("t")})::BIGINT AS nonspace, sum({odd("t", SUSPICIOUS_WITHOUT_BULLET)})::BIGINT AS suspicious, sum({odd("t", SYLLABICS)})::BIGINT AS syllabics, sum({odd("t", "�")})::BIGINT AS replacements FROM c GROUP BY extractor)
 SELECT extractor, length, nonspace, suspicious, syllabics, replacements, coalesce(sample, '') AS sample, round(suspicious::DOUBLE / greatest(1, nonspace), 9) AS ratio FROM s LEFT JOIN k USING (extractor)"""
+
+SQL["q39_bridge_stats"] = f"""
+WITH {POSTINGS}, {ALIAS} SELECT (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT count(DISTINCT term) FROM alias WHERE alias IN (SELECT term FROM df)) AS active"""
+
+_line = strip(rx("text", f"[{WS}]+", " "))
+_body = strip(rx(rx(strip("' ```JSON' || chr(10) || text || chr(10) || '``` '"), r"\A(?i:```(?:json)?)"), r"```\z"))
+SQL["q40_text_shapes"] = f"SELECT conv_id, turn, md5(CASE WHEN length({_line}) > 160 THEN left({_line}, 160) || '...' ELSE {_line} END) AS line_md5, md5({_body}) AS body_md5 FROM conversations"
+
+SQL["q41_artifacts"] = f"""
+SELECT doc_id, regexp_matches(t, '[\\x{{1400}}-\\x{{167F}}\\x{{18B0}}-\\x{{18FF}}]') AS syllabics, contains(t, '�') AS replacement, contains(t, 'اغ يز ا يصقلبي') AS corrupted_phrase, contains(t, '0491') AS reversed_year
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {damaged(TXT)} WHEN 1 THEN replace(text, 'the', '�') WHEN 2 THEN text || ' 0491' ELSE text END AS t FROM documents)"""
+
+SQL["q42_record_slices"] = "SELECT qid, ordinal::INT AS ordinal FROM (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) - 1 AS ordinal FROM benchmark) WHERE ordinal >= 5 AND ordinal < 25"
+
+_arabic3 = r"[\x{600}-\x{6FF}]"
+SQL["q43_mirrored_lines"] = f"""
+SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(replace(CASE WHEN turn % 2 = 0 THEN {AR_} ELSE text END, '. ', chr(10)), chr(10)),
+  lambda z: CASE WHEN {count("z", _arabic3)} >= 3 THEN reverse(z) ELSE z END), chr(10))) AS text_md5 FROM conversations"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from marsad.functions import text as T
@@ -94,7 +94,7 @@ def q10_noise_filter(spark: S, d: str) -> DataFrame:
 
 def q11_chunk_stats(spark: S, d: str) -> DataFrame:
     docs = fx.documents(spark, d)
-    chunks = C.pack_documents(docs, "doc_id", "text", "lang").withColumn("section", F.lit("النص"))
+    chunks = C.pack_documents(docs, "doc_id", "text", "lang").withColumn("section", F.when(c("doc_id") % 3 == 0, F.lit("النص")).otherwise(c("lang")))
     out = C.chunk_stats(chunks, "lang")
     return out.select("lang", "chunks", *[F.round(x, 6).alias(x) for x in ("avg_length", "titled_share", "ended_share")])
 
@@ -186,8 +186,9 @@ def q22_bridge(spark: S, d: str) -> DataFrame:
 def q22b_bridge_impact(spark: S, d: str) -> DataFrame:
     plain = _question_terms(spark, d)
     index = fx.chunks(spark, d)
+    lists = I.term_lists(index)
     bridged = Q.bridged_terms(Q.bridge(plain, Q.alias_table(spark, fx.ALIASES), None))
-    return Q.bridge_impact(I.bm25(plain, index), I.bm25(bridged, index), fx.questions(spark, d))
+    return Q.bridge_impact(I.bm25(plain, index, lists=lists), I.bm25(bridged, index, lists=lists), fx.questions(spark, d))
 
 
 def _sourced(spark: S, d: str) -> DataFrame:
@@ -289,7 +290,7 @@ def _failures(spark: S, d: str) -> DataFrame:
     hits = _hit_texts(spark, d, 5).join(fx.questions(spark, d), "qid").groupBy("qid").agg(F.bool_or(M.relevance(c("question"), c("text")) >= M.RELEVANT).alias("relevant_retrieved"))
     rows = rows.join(hits, "qid").filter((c("qid") % 3 != 2) & (M.behavior(c("final_answer")) == "refusal"))
     waws = F.char_length("question") - F.char_length(F.replace("question", F.lit("w"), F.lit("")))
-    return rows.select("qid", (c("qid") % 4 != 0).alias("evidence_exists"), F.lit(False).alias("ascii_only"), (F.size("info.entities") > 0).alias("has_entities"), F.size("info.key_terms").alias("n_key_terms"), "relevant_retrieved", F.lit(True).alias("sparse_signal"), (waws >= 20).alias("many_parts"), A.can_answer(c("info"), c("support")).alias("grounding_would_pass"), (c("qid") % 2 == 0).alias("payload_known"))
+    return rows.select("qid", (c("qid") % 4 != 0).alias("evidence_exists"), (c("qid") % 8 == 0).alias("ascii_only"), (F.size("info.entities") > 0).alias("has_entities"), F.size("info.key_terms").alias("n_key_terms"), "relevant_retrieved", (c("qid") % 5 < 3).alias("sparse_signal"), (waws >= 20).alias("many_parts"), A.can_answer(c("info"), c("support")).alias("grounding_would_pass"), (c("qid") % 2 == 0).alias("payload_known"))
 
 
 def q34_attribution(spark: S, d: str) -> DataFrame:
@@ -297,7 +298,9 @@ def q34_attribution(spark: S, d: str) -> DataFrame:
 
 
 def q35_evidence_in_corpus(spark: S, d: str) -> DataFrame:
-    q = fx.questions(spark, d).select("qid", F.filter(T.terms(c("question")), lambda t: F.char_length(t) >= 12).alias("terms"))
+    """All terms of a question; every fourth question is a word that the corpus can't know."""
+    t = F.when(c("qid") % 4 == 3, F.concat(F.lit("qqzzxx"), c("qid"))).otherwise(c("question"))
+    q = fx.questions(spark, d).select("qid", T.terms(t).alias("terms"))
     return M.evidence_exists(q, I.postings(fx.chunks(spark, d)))
 
 
@@ -318,4 +321,29 @@ def q38_extractor_comparison(spark: S, d: str) -> DataFrame:
     return out.select("extractor", "length", "nonspace", "suspicious", "syllabics", "replacements", F.array_join("sample", "").alias("sample"), F.round("ratio", 9).alias("ratio"))
 
 
+def q39_bridge_stats(spark: S, d: str) -> DataFrame:
+    return Q.bridge_stats(Q.alias_table(spark, fx.ALIASES), I.vocabulary(I.postings(fx.chunks(spark, d))))
+
+
+def q40_text_shapes(spark: S, d: str) -> DataFrame:
+    fenced = F.concat(F.lit(" ```JSON\n"), c("text"), F.lit("\n``` "))
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", *digest(("line_md5", T.one_line(c("text"))), ("body_md5", T.strip_fences(fenced))))
+
+
+def q41_artifacts(spark: S, d: str) -> DataFrame:
+    t = F.when(c("doc_id") % 4 == 0, fx.damaged(c("text"))).when(c("doc_id") % 4 == 1, F.replace(c("text"), F.lit("the"), F.lit("�"))).when(c("doc_id") % 4 == 2, F.concat(c("text"), F.lit(" 0491"))).otherwise(c("text"))
+    return fx.documents(spark, d).select("doc_id", T.artifacts(t).alias("a")).select("doc_id", "a.*")
+
+
+def q42_record_slices(spark: S, d: str) -> DataFrame:
+    records = fx.questions(spark, d).withColumn("ordinal", F.row_number().over(W.orderBy("qid")) - 1)
+    return M.slice_records(records, "ordinal", 5, 25).select("qid", c("ordinal").cast("int").alias("ordinal"))
+
+
+def q43_mirrored_lines(spark: S, d: str) -> DataFrame:
+    t = F.replace(F.when(c("turn") % 2 == 0, fx.ar(c("text"))).otherwise(c("text")), F.lit(". "), F.lit("\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", *digest(("text_md5", X.mirrored_lines(t))))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] == "q" and n[1:3].isdigit() and callable(f)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,3 +35,23 @@ def trace(answered: DataFrame) -> DataFrame:
 def chunk_dump(chunks: DataFrame) -> DataFrame:
     """S12."""
     return chunks.select("chunk_id", (F.col("chunk_id") - 1).alias("idx"), "text")
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once and read back, for what several parts of a plan need: the folder is that of
+    ``spark.checkpoint.dir``, shared by all executors; one of our own on a single machine without it."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints/marsad"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer tasks than there are; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
