@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns a
 DataFrame; ``run`` writes it as Parquet in the shared folder and rereads it as the next one's docs.
 All stages but the last return the columns of ``docs``.
+
+In every stage null text counts as empty, null ids are carried, very long texts are worked on whole, and further
+columns are carried whatever their names; an empty table gives an empty one. The stages say what they do with
+repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from marsad.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the forest reject go."""
+    """Documents that the rules or the forest reject go: null and empty texts too. Repeated rows are judged each."""
     return quality_forest.keep(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
@@ -33,18 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that a document with a smaller id also has are cut out."""
+    """Bytes that a document with a smaller id also has are cut out; null ids are the largest. Rows with one id keep theirs."""
     return suffix_dedup.dedup(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark."""
+    """Secrets give way to a mark, spans that overlap to one; repeated rows alike. A null source is an owner of its own."""
     found = secret_scan.scan(docs, repo=F.concat_ws("/", "source", "lang"))
     return secret_scan.redact(docs, found)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of the packed sequences."""
+    """One row per piece of the packed sequences. Repeated rows are packed each; ties go by place in the input."""
     return packing.retrieval_pieces(docs, vocabulary_path())
 
 
