@@ -8,7 +8,10 @@
    others. Pairs that SimHash links join already are left out, since only components count. No
    other pair is lost, whatever its SimHash distance.
 3. Candidates are compared as whole sets; those at ``LEAST`` or more are links.
-4. SimHash components that hold rows of one node, or linked nodes, become one.
+4. A group over ``BIG`` rows isn't paired: its rows leave their task as they come, in blocks, and meet a
+   few neighbours a round, while rounds make components one. Then only pairs of different components are
+   left, and those are all compared, block by block, so no link between components is lost.
+5. SimHash components that hold rows of one node, or linked nodes, become one.
 
 Null or blank text is the empty set, equal to itself.
 """
@@ -24,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marsad.llm import simhash
-from marsad.llm.common import materialise, small, spread_join
+from marsad.llm.common import discard, materialise, small, spread_join
 
 LEAST, WORDS = 0.8, 5
 SLOTS, PARTS = 1 << 18, 16
 MARKS = 1 << 22
 _CACHE = 1 << 18
 _PAIRS = 1 << 20
+#: Groups over so many rows are not paired at once: rounds of ``NEAR`` neighbours in blocks of so many rows.
+BIG, NEAR, BLOCK, ROUNDS = 64, 3, 512, 6
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -130,8 +135,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, least: DataFrame) -> DataFrame
     return rows.select("node", "size", "g", F.posexplode("hs").alias("pos", "h"))
 
 
-def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by h and size; a row meets the later ones of its group that are not too long."""
+def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray, g: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by h and size; a row meets the later ones of its group that are not too long and not of its side."""
     n = len(h)
     cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
     end = np.repeat(cut[1:], np.diff(cut))
@@ -148,6 +153,8 @@ def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray,
         b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], m)
         rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
         good = (9 * rest >= 4 * (size[a] + size[b])) & (g[a] != g[b])
+        if side is not None:
+            good &= side[a] != side[b]
         x, y = nodes[a[good]], nodes[b[good]]
         if len(x):
             found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
@@ -155,35 +162,118 @@ def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray,
         i = j
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
+def _meet(batches: Iterator[pa.RecordBatch], big: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h and size -> pairs of small groups (h null); rows of groups over ``big`` as they come, numbered in their group."""
     names = ("h", "node", "size", "pos", "g")
+    held, hot, seen = None, None, 0
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for found in _pairs(*rows):
+            none = pa.nulls(found.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*found.columns, *[none] * 4], ["a", "b", "h", "size", "pos", "ord"])
+
+    def rows_of(x: list[np.ndarray], first: int) -> pa.RecordBatch:
+        h, nodes, size, pos, g = map(pa.array, x)
+        return pa.RecordBatch.from_arrays([nodes, g, h, size, pos, pa.array(np.arange(first, first + len(x[0])))], ["a", "b", "h", "size", "pos", "ord"])
+
     for batch in batches:
         now = [batch.column(c).to_numpy().astype(np.int64) for c in names]
         held = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
-        if not len(held[0]):
+        h = held[0]
+        if not len(h):
             continue
-        end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-        if end:
-            yield from _pairs(*(x[:end] for x in held))
-            held = [x[end:] for x in held]
+        cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+        small_, last = np.ones(len(h), bool), int(cut[-2])
+        for i in np.flatnonzero((np.diff(cut) > big) | (h[cut[:-1]] == hot if hot is not None else False)).tolist():
+            x, y = int(cut[i]), int(cut[i + 1])
+            seen = seen if h[x] == hot else 0
+            yield rows_of([c[x:y] for c in held], seen)
+            hot, seen = h[x], seen + y - x
+            small_[x:y] = False
+        done = small_.copy()
+        done[last:] = False  # the last group may go on
+        if done.any():
+            yield from pairs([c[done] for c in held])
+        rest = small_ & ~done
+        held = [c[rest] for c in held]
     if held is not None and len(held[0]):
-        yield from _pairs(*held)
+        yield from pairs(held)
 
 
-def candidates(docs: DataFrame, least: DataFrame) -> DataFrame:
-    """a, b: every pair of nodes at ``LEAST`` or more that ``least`` doesn't name alike, and some others."""
+def _grouped(rows: DataFrame, keys: list[str], order: list[str], run) -> DataFrame:
+    """a, b: what ``run`` makes of rows (h, node, size, pos, g, side), h a key of each group, whole groups at a time."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ("h", "node", "size", "pos", "g", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            held = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
+            x = held[0]
+            end = int(np.flatnonzero(x != x[-1])[-1]) + 1 if len(x) and (x != x[-1]).any() else 0
+            if end:
+                yield from run(*(c[:end] for c in held))
+                held = [c[end:] for c in held]
+        if held is not None and len(held[0]):
+            yield from run(*held)
+
+    rows = rows.withColumn("h", F.xxhash64(*keys)).repartition(parts, "h").sortWithinPartitions("h", *order)
+    return rows.select(*names).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _neighbours(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray, g: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each row with the next ``NEAR`` of its group: linear in the rows."""
+    for d in range(1, min(NEAR, len(h) - 1) + 1):
+        a, b = np.arange(len(h) - d), np.arange(d, len(h))
+        rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
+        good = (h[a] == h[b]) & (g[a] != g[b]) & (9 * rest >= 4 * (size[a] + size[b]))
+        x, y = nodes[a[good]], nodes[b[good]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _near(hot: DataFrame, turn: int) -> DataFrame:
+    """Candidates of one round: rows of like size meet a few others, each round other ones."""
+    rows = hot.withColumn("side", F.floor((F.col("ord") + turn * BLOCK // 2) / BLOCK)).withColumn("turn", F.xxhash64("node", F.lit(turn)))
+    return _grouped(rows, ["h", "side"], ["turn"], _neighbours)
+
+
+def _left(hot: DataFrame) -> DataFrame:
+    """Every candidate pair that is still in two components, block of ``BLOCK`` rows by block; blocks within one component go."""
+    hot = hot.withColumn("block", F.floor(F.col("ord") / BLOCK))
+    blocks = hot.groupBy("h", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    blocks = materialise(blocks, "blocks")
+    several = blocks.groupBy("h").agg(F.min("g0").alias("least"), F.max("g1").alias("most")).filter("least != most").select("h")
+    blocks = blocks.join(several, "h", "left_semi")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = ~((F.col("x.g0") == F.col("x.g1")) & (F.col("y.g0") == F.col("y.g1")) & (F.col("x.g0") == F.col("y.g0")))
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") <= F.col("y.block")) & (4 * F.col("y.lo") <= 5 * F.col("x.hi")) & apart)
+    both = materialise(both.select(F.col("x.h").alias("h"), F.col("x.block").alias("b1"), F.col("y.block").alias("b2")), "blocks")
+    one = hot.join(both.withColumn("block", F.col("b1")), ["h", "block"])
+    two = hot.join(both.filter("b1 < b2").withColumn("block", F.col("b2")), ["h", "block"])
+    rows = one.unionByName(two).withColumn("side", F.when(F.col("b1") == F.col("b2"), F.col("node")).otherwise(F.col("block")))
+    return _grouped(rows, ["h", "b1", "b2"], ["size"], _pairs)
+
+
+def _relabel(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """``hot`` with components that ``links`` (a, b: nodes) connect made one."""
+    of = materialise(hot.select("node", "g").distinct(), "of")
+    edges = links.join(of.select(F.col("node").alias("a"), F.col("g").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("g").alias("y")), "b")
+    label = simhash.components(edges.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnRenamed("fp", "of")
+    rows = spread_join(hot, "g", ["h", "node"], label, "of", "left")
+    return materialise(rows.select("h", "node", F.coalesce("comp", "g").alias("g"), "size", "pos", "ord"), "rows")
+
+
+def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
+    """a, b: links of nodes at ``LEAST`` or more that connect what all such pairs do, with the names of ``least``."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = prefixes(docs, shingle_counts(docs), least).repartition(parts, "h").sortWithinPartitions("h", "size")
-    return rows.mapInArrow(_meet, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, least: DataFrame) -> DataFrame:
-    """a, b: the pairs of nodes whose sets are at ``LEAST`` or more and that ``least`` doesn't name alike."""
-    pairs = materialise(candidates(docs, least), "candidates")
+    met = materialise(rows.mapInArrow(lambda batches: _meet(batches, big), "a long, b long, h long, size long, pos long, ord long"), "met")
+    pairs = materialise(met.filter("h IS NULL").select("a", "b").distinct(), "candidates")
+    hot = met.filter("h IS NOT NULL").select("h", F.col("a").alias("node"), F.col("b").alias("g"), "size", "pos", "ord")
     slot = lambda c: F.pmod(F.col(c), F.lit(MARKS)).cast("int").alias("slot")
     marks = np.zeros(MARKS, bool)
-    for r in pairs.select(slot("a")).union(pairs.select(slot("b"))).distinct().toLocalIterator():
+    for r in pairs.select(slot("a")).union(pairs.select(slot("b"))).union(hot.select(slot("node"))).distinct().toLocalIterator():
         marks[r.slot] = True
     packed = np.packbits(marks)
 
@@ -206,10 +296,24 @@ def similar(docs: DataFrame, least: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    held = docs.select("text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"])
-    held = materialise(held, "sets")
-    rows = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    held = materialise(docs.select("text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        return materialise(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+
+    found = linked(pairs)
+    if not hot.isEmpty():
+        hot = _relabel(hot, found)
+        for turn in range(ROUNDS):
+            more = linked(_near(hot, turn))
+            if more.isEmpty():
+                break
+            found, hot = found.union(more), _relabel(hot, more)
+        found = found.union(linked(_left(hot)))
+    discard(met)
+    discard(held)
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,41 @@ def test_one_row_of_each_group_stays_whatever_its_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str)
     assert got == sorted([(1, clean(1)), (2, clean(2)), (None, clean(3)), (4, clean(4)), (5, None)], key=str)
+
+
+def test_large_groups_are_linked_in_rounds(spark):
+    """All pairs of a group were candidates, as many as its square."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for _ in range(300):  # many near copies, some of which are linked through others only
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(words))
+    rows += texts()
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    cache: dict = {}
+    least = near_copies.prints(df).selectExpr("node", "node AS least").distinct()
+    sets = {near_copies.node(x): set(x.tolist()) for x in (near_copies.shingles(t, cache) for t in rows)}
+    edges = [(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and 5 * len(x & y) >= 4 * len(x | y)]
+
+    def parts(edges):
+        root = {i: i for i in sets}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in edges:
+            root[find(i)] = find(j)
+        out: dict = {}
+        for i in sets:
+            out.setdefault(find(i), set()).add(i)
+        return sorted(map(sorted, out.values()))
+
+    for big in (2, 20):
+        got = {(r.a % 2**64, r.b % 2**64) for r in near_copies.similar(df, least, big).collect()}
+        assert {frozenset(e) for e in got} <= {frozenset(e) for e in edges}
+        assert parts(got) == parts(edges)
