@@ -112,6 +112,31 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
 
 
+def marked(nodes: DataFrame) -> np.ndarray:
+    """``MARKS`` bits, that of every row's node set: 512 KB whatever the input, put together on the executors."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[batch.column("node").to_numpy() % MARKS] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([np.packbits(p).tobytes() for p in bits.reshape(PARTS, -1)])], ["part", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                total[part] = total.get(part, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()])], ["part", "bits"])
+
+    kind = "part int, bits binary"
+    out = np.zeros((PARTS, MARKS // 8 // PARTS), np.uint8)
+    for r in nodes.mapInArrow(mark, kind).repartition(PARTS, "part").mapInArrow(merge, kind).collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, least: DataFrame) -> DataFrame:
     """h, node, size, pos, g: the first shingles of each set, in the common order; g from ``least`` (node, least)."""
 
@@ -271,11 +296,7 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
     met = materialise(rows.mapInArrow(lambda batches: _meet(batches, big), "a long, b long, h long, size long, pos long, ord long"), "met")
     pairs = materialise(met.filter("h IS NULL").select("a", "b").distinct(), "candidates")
     hot = met.filter("h IS NOT NULL").select("h", F.col("a").alias("node"), F.col("b").alias("g"), "size", "pos", "ord")
-    slot = lambda c: F.pmod(F.col(c), F.lit(MARKS)).cast("int").alias("slot")
-    marks = np.zeros(MARKS, bool)
-    for r in pairs.select(slot("a")).union(pairs.select(slot("b"))).union(hot.select(slot("node"))).distinct().toLocalIterator():
-        marks[r.slot] = True
-    packed = np.packbits(marks)
+    packed = marked(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
