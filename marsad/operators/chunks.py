@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marsad.functions.lexicon import DEFAULT_SECTION, SOURCES_HEADING
-from marsad.functions.text import EVALUATION_TOKEN, WS, chunk_sentences, strip
+from marsad.functions.text import EVALUATION_TOKEN, WS, chunk_sentences, process, strip
+from marsad.operators.extract import select_source
 
 BUDGET, HEADING_CHARS, HEADING_WORDS, LEAST_BODY = 240, 55, 8, 20
 
@@ -114,6 +115,16 @@ def build_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     return rows.select(key, "chunk_id", F.col("title").alias("section"), F.lit(None).cast("int").alias("page"), (source if source is not None else F.lit("")).alias("source_document"), F.col("chunk").alias("text"))
 
 
+def load_corpus(candidates: DataFrame, key: str = "doc_id", source: Column | None = None) -> DataFrame:
+    """Chunks of (key, extractor, text): the better text of each key (S3), repaired (N7), cut.
+
+    A key whose text is null or blank has no chunk. ``source`` may name ``key``, ``extractor`` and ``text``."""
+    docs = select_source(candidates, key).withColumn("text", process(F.col("text"))["repaired"])
+    # The source goes along inside the key, so the texts are chosen and repaired once and nothing is joined back.
+    docs = docs.select(F.struct(key, (source if source is not None else F.lit("")).alias("source_document")).alias("_k"), "text")
+    return build_chunks(docs, "_k").select(f"_k.{key}", "chunk_id", "section", "page", "_k.source_document", "text")
+
+
 def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
     """C10."""
     share = lambda c: F.avg(c.cast("double"))

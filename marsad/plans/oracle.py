@@ -180,20 +180,23 @@ _lines = clean_list(r"string_split_regex(b, '\r\n|[\n\r\x{B}\x{C}\x{1C}-\x{1E}\x
 _head = rf"(length(b) <= 55 AND (ends_with(b, ':') OR (NOT regexp_matches(b, '[.!؟?،]') AND {count('b', EVALUATION_TOKEN)} BETWEEN 1 AND 8)))"
 _mark = rf"(?:\A|\n)[{WS}]*{L.SOURCES_HEADING}"
 _before = f"regexp_extract(t, {q(r'(?s)' + chr(92) + 'A(.*?)' + _mark)}, 1)"
-SQL["q09_sections"] = f"""
-WITH t0 AS (
+_THREADS = """
   SELECT conv_id, string_agg(role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)
          || CASE WHEN conv_id % 3 = 0 THEN chr(10) || chr(10) || ' المصادر' || chr(10) || 'https://example.org/a' ELSE '' END AS t
   FROM conversations GROUP BY conv_id
-), t1 AS (
+"""
+#: From t0 (conv_id, t) to b4: blocks with their section.
+_BLOCKS = f"""t1 AS (
   SELECT conv_id, CASE WHEN regexp_matches(t, {q(_mark)}) AND length({strip(_before)}) >= 20 THEN {strip(_before)} ELSE t END AS t FROM t0
 ), b0 AS (SELECT conv_id, unnest(string_split_regex(t, '\\n[{WS}]*\\n')) AS b, generate_subscripts(string_split_regex(t, '\\n[{WS}]*\\n'), 1) AS p FROM t1),
 b1 AS (SELECT conv_id, p, {_lines} AS l FROM b0),
 b2 AS (SELECT conv_id, p, CASE WHEN len(list_filter(l, lambda z: starts_with(z, '•') OR starts_with(z, '-'))) > 0 THEN array_to_string(l, chr(10)) ELSE array_to_string(l, ' ') END AS b FROM b1 WHERE len(l) > 0),
 b3 AS (SELECT *, {_head} AS head FROM b2),
-b4 AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY p) AS section_no FROM b3)
-SELECT conv_id, section_no::INT AS section_no, coalesce(max(CASE WHEN head THEN b END), 'النص') AS title,
-       length({strip("string_agg(b, chr(10) ORDER BY p) FILTER (WHERE NOT head)")}) AS n_chars, md5({strip("string_agg(b, chr(10) ORDER BY p) FILTER (WHERE NOT head)")}) AS text_md5
+b4 AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY p) AS section_no FROM b3)"""
+_body = strip("string_agg(b, chr(10) ORDER BY p) FILTER (WHERE NOT head)")
+SQL["q09_sections"] = f"""
+WITH t0 AS ({_THREADS}), {_BLOCKS}
+SELECT conv_id, section_no::INT AS section_no, coalesce(max(CASE WHEN head THEN b END), 'النص') AS title, length({_body}) AS n_chars, md5({_body}) AS text_md5
 FROM b4 GROUP BY conv_id, section_no HAVING count(*) FILTER (WHERE NOT head) > 0"""
 
 SQL["q10_noise_filter"] = f"""
@@ -204,6 +207,28 @@ WITH t AS (
 ), f AS (SELECT *, {has_url("t")} AS has_url, {count("lower(t)", rf"https?://[^{WS}]+")} AS n_urls, {count("t", "[" + chr(92) + "x{600}-" + chr(92) + "x{6FF}]+")} AS n_arabic, contains(t, 'المصادر') AS h FROM t)
 SELECT conv_id, turn, has_url, n_urls, n_arabic, (h AND has_url) OR (n_urls >= 2 AND n_arabic < 25) AS noise, h OR has_url AS penalty FROM f"""
 
+SQL["q44_build_chunks"] = f"""
+WITH RECURSIVE th AS ({_THREADS}),
+t0 AS (SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN 'https://a.example/x https://b.example/y.' || chr(10) || chr(10) ELSE '' END || t AS t FROM th), {_BLOCKS},
+sec AS (
+  SELECT conv_id, section_no, coalesce(max(CASE WHEN head THEN b END), 'النص') AS title, {_body} AS text
+  FROM b4 GROUP BY conv_id, section_no HAVING count(*) FILTER (WHERE NOT head) > 0
+), src AS (SELECT conv_id, section_no, title, {chunk_sentences("text")} AS l FROM sec),
+s AS (SELECT conv_id, section_no, title, len(l) AS m, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM src),
+r AS (
+  SELECT conv_id, section_no, title, m, 1::BIGINT AS i, s AS now, s AS last, NULL::VARCHAR AS done FROM s WHERE i = 1
+  UNION ALL
+  SELECT r.conv_id, r.section_no, r.title, r.m, s.i, CASE WHEN length(r.now || ' ' || s.s) > 240 THEN r.last || ' ' || s.s ELSE r.now || ' ' || s.s END, s.s,
+         CASE WHEN length(r.now || ' ' || s.s) > 240 THEN r.now END
+  FROM r JOIN s ON s.conv_id = r.conv_id AND s.section_no = r.section_no AND s.i = r.i + 1
+), e AS (
+  SELECT conv_id, section_no, title, i, done AS t FROM r WHERE done IS NOT NULL
+  UNION ALL SELECT conv_id, section_no, title, i + 1, now FROM r WHERE i = m
+), chunk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY section_no, i) AS chunk_id FROM e),
+f AS (SELECT *, {has_url("t")} AS url, {count("lower(t)", rf"https?://[^{WS}]+")} AS n_urls, {count("t", "[" + chr(92) + "x{600}-" + chr(92) + "x{6FF}]+")} AS n_arabic FROM chunk)
+SELECT conv_id, chunk_id::INT AS chunk_id, title AS section, length(t) AS n_chars, md5(t) AS text_md5
+FROM f WHERE NOT ((contains(t, 'المصادر') AND url) OR (n_urls >= 2 AND n_arabic < 25))"""
+
 SQL["q11_chunk_stats"] = PACK + f"""
 SELECT lang, count(*) AS chunks, round(avg(length(text)), 6) AS avg_length, round(avg((doc_id % 3 <> 0)::INT::DOUBLE), 6) AS titled_share,
        round(avg(regexp_matches({strip("text")}, '[.؟!]$')::INT), 6) AS ended_share FROM chunk GROUP BY lang"""

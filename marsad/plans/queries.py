@@ -346,4 +346,11 @@ def q43_mirrored_lines(spark: S, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", *digest(("text_md5", X.mirrored_lines(t))))
 
 
+def q44_build_chunks(spark: S, d: str) -> DataFrame:
+    """Every third thread begins with a chunk of links: it goes as noise, and its id stays unused."""
+    links = F.when(c("conv_id") % 3 == 1, F.lit("https://a.example/x https://b.example/y.\n\n")).otherwise(F.lit(""))
+    chunks = C.build_chunks(_threads(spark, d).withColumn("text", F.concat(links, "text")), "conv_id")
+    return chunks.select("conv_id", c("chunk_id").cast("int").alias("chunk_id"), "section", F.char_length("text").alias("n_chars"), *digest(("text_md5", c("text"))))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] == "q" and n[1:3].isdigit() and callable(f)}

@@ -70,6 +70,22 @@ def test_references_are_cut_and_noise_takes_an_id(spark):
     assert all(r.page is None for r in rows)
 
 
+def test_noise_in_front_leaves_its_id_unused(spark):
+    text = "https://a.example/x https://b.example/y.\n\nعنوان اول\n\nهذا نص اساسي طويل بما يكفي."
+    rows = C.build_chunks(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert [(r.chunk_id, r.section) for r in rows] == [(2, "عنوان اول")]
+
+
+def test_corpus_loader_chooses_repairs_and_cuts(spark):
+    good = "هذا نص اساسي طويل بما يكفي ليبقى في الوثيقة."
+    rows = [(1, "a", good), (1, "b", good.replace("نص", "ن᐀ص")), (2, "a", None), (2, "b", " "), (3, "b", "أَهلًا  بكم في المكتبة.")]
+    got = C.load_corpus(spark.createDataFrame(rows, "doc_id int, extractor string, text string"), source=F.concat("extractor", F.lit(".pdf"))).collect()
+    want = {r.doc_id: r.t for r in spark.createDataFrame([(1, good), (3, "أَهلًا بكم في المكتبة.")], "doc_id int, t string").select("doc_id", C.process(F.col("t"))["repaired"].alias("t")).collect()}
+    assert {r.doc_id: r.text for r in got} == want
+    assert {r.doc_id: r.source_document for r in got} == {1: "a.pdf", 3: "b.pdf"}
+    assert all(r.chunk_id == 1 and r.section == DEFAULT_SECTION and r.page is None for r in got)
+
+
 def test_chunk_stats(spark):
     df = spark.createDataFrame([("a", "عنوان", "نص."), ("a", DEFAULT_SECTION, "نص طويل")], "k string, section string, text string")
     (r,) = C.chunk_stats(df, "k").collect()
