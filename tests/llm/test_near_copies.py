@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from marsad.llm import near_copies
 
@@ -89,3 +91,10 @@ def test_large_groups_are_linked_in_rounds(spark):
         got = {(r.a % 2**64, r.b % 2**64) for r in near_copies.similar(df, least, big).collect()}
         assert {frozenset(e) for e in got} <= {frozenset(e) for e in edges}
         assert parts(got) == parts(edges)
+
+
+def test_marks_hold_every_node_and_no_other_slot(spark):
+    nodes = [0, 5, 5, -1, -(2**63), 2**63 - 1, near_copies.MARKS, near_copies.MARKS - 1]
+    df = spark.createDataFrame([(n,) for n in nodes], "node long").repartition(3)
+    assert set(np.flatnonzero(np.unpackbits(near_copies.marked(df))).tolist()) == {n % near_copies.MARKS for n in nodes}
+    assert not near_copies.marked(df.limit(0)).any()
