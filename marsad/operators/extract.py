@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from marsad.functions.text import SUSPICIOUS, clean_extracted, nonspace, quality, suspicious, syllabics
+from marsad.functions.text import SUSPICIOUS_WITHOUT_BULLET, SYLLABICS, WS, clean_extracted, quality
+from marsad.sources.reports import saved
 
 
 class PageExtractor(Protocol):
@@ -59,14 +64,52 @@ def character_names(chars: pd.Series) -> pd.Series:
     return chars.map(lambda some: [unicodedata.name(c, "UNKNOWN") for c in some] if some is not None else None)
 
 
+@cache
+def kinds() -> np.ndarray:
+    """For every code point: 0 usual, 1 white space, 2 bullet, 3 syllabics, 4 replacement character, 5 any other suspicious one."""
+    points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000])
+    every = "".join(map(chr, points.tolist()))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, chars in ((5, SUSPICIOUS_WITHOUT_BULLET), (2, "\u2022"), (3, SYLLABICS), (4, "\ufffd"), (1, f"[{WS}]")):
+        found = re.finditer(re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08x}", chars), every)
+        out[points[[m.start() for m in found]]] = kind
+    return out
+
+
+def count_characters(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(extractor, text) -> one row per extractor and task: sums over its texts (null if it has none), distinct suspicious characters."""
+    counts: dict[str | None, np.ndarray | None] = {}
+    seen: dict[str | None, np.ndarray] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part, texts = batch.slice(at, rows), {}
+            for name, text in zip(part.column("extractor").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                counts.setdefault(name, None)
+                if text is not None:
+                    texts.setdefault(name, []).append(text.decode("utf-8", "replace"))
+            for name, some in texts.items():
+                whole = "".join(some)
+                if counts[name] is None:
+                    counts[name], seen[name] = np.zeros(6, np.int64), np.zeros(0x110000, bool)
+                for i in range(0, len(whole), chars):
+                    points = np.frombuffer(whole[i : i + chars].encode("utf-32-le"), "<u4")
+                    kind = kinds()[points]
+                    counts[name] += np.bincount(kind, minlength=6)
+                    seen[name][points[kind > 2]] = True
+    for name, n in counts.items():
+        odd = list(map(chr, np.flatnonzero(seen[name]).tolist())) if n is not None else []
+        sums = [None] * 5 if n is None else [n.sum(), n.sum() - n[1], n[2:].sum(), n[3], n[4]]
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), *[pa.array([x], pa.int64()) for x in sums], pa.array([odd], pa.list_(pa.string()))], ["extractor", *COUNTED, "odd"])
+
+
+COUNTED = ("length", "nonspace", "suspicious", "syllabics", "replacements")
+
+
 def compare_extractors(candidates: DataFrame, first: int = 20) -> DataFrame:
     """Metrics of every extractor over all its texts; ``first`` smallest suspicious characters."""
-    t = F.col("text")
-    per = candidates.select(
-        "extractor", F.char_length(t).alias("length"), nonspace(t).alias("nonspace"), suspicious(t, bullet=False).alias("suspicious"), syllabics(t).alias("syllabics"),
-        F.regexp_count(t, F.lit("�")).alias("replacements"), F.array_distinct(F.regexp_extract_all(t, F.lit(SUSPICIOUS), F.lit(0))).alias("odd"),
-    )
-    total = per.groupBy("extractor").agg(*[F.sum(c).cast("long").alias(c) for c in ("length", "nonspace", "suspicious", "syllabics", "replacements")])
+    per = candidates.select("extractor", "text").mapInArrow(count_characters, "extractor string, " + ", ".join(f"{c} long" for c in COUNTED) + ", odd array<string>")
+    per = saved(per, "extracted")  # a row per extractor and task, read twice
+    total = per.groupBy("extractor").agg(*[F.sum(c).alias(c) for c in COUNTED])
     odd = per.select("extractor", F.explode("odd").alias("char")).distinct()
     few = odd.withColumn("r", F.row_number().over(Window.partitionBy("extractor").orderBy("char"))).filter(F.col("r") <= first)
     sample = few.groupBy("extractor").agg(F.array_sort(F.collect_list("char")).alias("sample"))

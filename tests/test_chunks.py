@@ -113,3 +113,13 @@ def test_pages_through_an_extractor(spark, tmp_path):
     assert (r.suspicious, r.replacements, r.sample) == (2, 1, ["é", "�"])
     assert spark.createDataFrame([(["a"],)], "c array<string>").select(X.character_names("c")).first()[0] == ["LATIN SMALL LETTER A"]
     assert spark.createDataFrame([("ابج\nab",)], "t string").select(X.mirrored_lines(F.col("t"))).first()[0] == "جبا\nab"
+
+
+def test_extractors_are_counted_by_code_point(spark):
+    """Counts made an array of all characters counted; a text of some MB took minutes."""
+    rows = [("a", "é\u2003x • ᐁ�\U0001F600 أ"), ("a", None), ("a", "é" * 3_000_000), ("b", None), (None, "ñ")]
+    got = {r.extractor: r for r in X.compare_extractors(spark.createDataFrame(rows, "extractor string, text string").repartition(3)).collect()}
+    r = got["a"]
+    assert (r.length, r.nonspace, r.suspicious, r.syllabics, r.replacements, r.sample) == (3_000_011, 3_000_007, 3_000_005, 1, 1, ["é", "ᐁ", "�", "\U0001F600"])
+    assert got["b"].length is None and not got["b"].sample
+    assert (got[None].suspicious, got[None].sample) == (1, None)
