@@ -334,6 +334,34 @@ def test_forest_on_held_out_labels(spark):
     assert n[0, False] >= 0.85 * (n[0, False] + n.get((0, True), 0))
 
 
+def test_all_labelled_rows_decide(spark):
+    """Forest and thresholds came from 4000 labelled rows at most."""
+    rng = np.random.default_rng(3)
+    n = 9000
+    x, good, words = rng.normal(size=(n, 4)), rng.random(n) < 0.9, rng.choice([30, 100, 900], n, p=[0.6, 0.395, 0.005])
+    x[~good] += 2
+    rows = [(i, bool(g), int(w), *map(float, v)) for i, (g, w, v) in enumerate(zip(good, words, x))]
+    df = spark.createDataFrame(rows, "doc_id long, good boolean, n_words long, " + ", ".join(f"{f} double" for f in quality_forest.FEATURES))
+    measured = df.withColumn("base_failed", F.lit(False))
+    labels = df.select("doc_id", F.col("good").cast("int").alias("quality"))
+    forest, limit = quality_forest.fit(measured.repartition(3), labels)
+    again, same = quality_forest.fit(measured.repartition(7), labels.repartition(2))
+    assert np.array_equal(forest.split, again.split) and np.array_equal(limit, same)
+    # A tree's splits lie between its rows, drawn from all: the ids of its smallest hashes.
+    ids = np.array([r.id for r in df.select(F.xxhash64("doc_id").alias("id")).collect()])
+    drawn = [np.argsort(quality_forest._mixed(ids, t))[: quality_forest.SAMPLE] for t in range(quality_forest.TREES)]
+    f, at = forest.feature[:, 1], forest.split[:, 1]
+    assert all(x[d, k].min() <= y <= x[d, k].max() for d, k, y in zip(drawn, f, at, strict=True))
+    assert len(set(np.concatenate(drawn).tolist())) > 4000
+    score, band = forest.score(x), np.searchsorted(quality_forest.BANDS, words)
+    assert (np.bincount(band[good]) < quality_forest.LEAST_IN_BAND).tolist() == [False, False, True]
+    for b in range(3):  # the last band has too few good ones and takes the threshold of all
+        mine = band == b if b < 2 else np.ones(n, bool)
+        edge = np.sort(score[mine & good])[::-1][int(quality_forest.CLEAN_LOSS * (mine & good).sum())]
+        bad = score[mine & ~good & (score > edge)]
+        assert limit[b] == ((edge + bad.min()) / 2 if len(bad) else edge + 1e-6)
+
+
 # --- 7 simhash
 
 
