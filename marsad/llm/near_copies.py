@@ -8,8 +8,8 @@
    others. Pairs that SimHash links join already are left out, since only components count. No
    other pair is lost, whatever its SimHash distance.
 3. Candidates are compared as whole sets; those at ``LEAST`` or more are links.
-4. A group over ``BIG`` rows isn't paired: its rows leave their task as they come, in blocks, and meet a
-   few neighbours a round, while rounds make components one. Then only pairs of different components are
+4. A group over ``BIG`` rows isn't paired: its rows leave their task as they come, in blocks. A round sends each
+   node to one of its groups, where it meets a few neighbours, while rounds make components one. Then only pairs of different components are
    left, and those are all compared, block by block, so no link between components is lost.
 5. SimHash components that hold rows of one node, or linked nodes, become one.
 
@@ -36,6 +36,8 @@ _CACHE = 1 << 18
 _PAIRS = 1 << 20
 #: Groups over so many rows are not paired at once: rounds of ``NEAR`` neighbours in blocks of so many rows.
 BIG, NEAR, BLOCK, ROUNDS = 64, 3, 512, 6
+#: So many nodes are broadcast (2 MB) to pick their sets.
+FEW = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -257,9 +259,11 @@ def _neighbours(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def _near(hot: DataFrame, turn: int) -> DataFrame:
-    """Candidates of one round: rows of like size meet a few others, each round other ones."""
-    rows = hot.withColumn("side", F.floor((F.col("ord") + turn * BLOCK // 2) / BLOCK)).withColumn("turn", F.xxhash64("node", F.lit(turn)))
+def _near(packed: DataFrame, of: DataFrame, turn: int) -> DataFrame:
+    """Candidates of one round: each node goes to one of its groups, alike nodes mostly to the same, and meets a few of like size there."""
+    one = F.array_min(F.transform("at", lambda x: F.struct(F.xxhash64(x["h"], F.lit(turn)).alias("k"), x["h"].alias("h"), x["pos"].alias("pos"), x["ord"].alias("ord"))))
+    rows = packed.select("node", "size", one.alias("p")).join(of, "node").select("node", "g", "size", "p.h", "p.pos", "p.ord")
+    rows = rows.withColumn("side", F.floor((F.col("ord") + turn * BLOCK // 2) / BLOCK)).withColumn("turn", F.xxhash64("node", F.lit(turn)))
     return _grouped(rows, ["h", "side"], ["turn"], _neighbours)
 
 
@@ -280,13 +284,13 @@ def _left(hot: DataFrame) -> DataFrame:
     return _grouped(rows, ["h", "b1", "b2"], ["size"], _pairs)
 
 
-def _relabel(hot: DataFrame, links: DataFrame) -> DataFrame:
-    """``hot`` with components that ``links`` (a, b: nodes) connect made one."""
-    of = materialise(hot.select("node", "g").distinct(), "of")
+def _relabel(of: DataFrame, links: DataFrame) -> DataFrame:
+    """``of`` (node, g) with components that ``links`` (a, b: nodes) connect made one."""
     edges = links.join(of.select(F.col("node").alias("a"), F.col("g").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("g").alias("y")), "b")
-    label = simhash.components(edges.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnRenamed("fp", "of")
-    rows = spread_join(hot, "g", ["h", "node"], label, "of", "left")
-    return materialise(rows.select("h", "node", F.coalesce("comp", "g").alias("g"), "size", "pos", "ord"), "rows")
+    label = simhash.components(edges.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnRenamed("fp", "to")
+    now = materialise(spread_join(of, "g", ["node"], label, "to", "left").select("node", F.coalesce("comp", "g").alias("g")), "of")
+    discard(of)
+    return now
 
 
 def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
@@ -296,11 +300,11 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
     met = materialise(rows.mapInArrow(lambda batches: _meet(batches, big), "a long, b long, h long, size long, pos long, ord long"), "met")
     pairs = materialise(met.filter("h IS NULL").select("a", "b").distinct(), "candidates")
     hot = met.filter("h IS NOT NULL").select("h", F.col("a").alias("node"), F.col("b").alias("g"), "size", "pos", "ord")
-    packed = marked(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")))
+    marks = marked(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        wanted = np.unpackbits(packed)
+        wanted = np.unpackbits(marks)
         for batch in small(batches, 256):
             found = [shingles(t, cache) for t in batch.column("text").to_pylist()]
             nodes = np.fromiter(map(node, found), np.uint64, len(found)).view(np.int64)
@@ -320,18 +324,27 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
     held = materialise(docs.select("text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-        return materialise(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+        nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        # Sets are many times as large as all else here: those that no pair names needn't move.
+        some = held.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= FEW else held
+        rows = pairs.join(some.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        out = materialise(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+        discard(nodes)
+        return out
 
     found = linked(pairs)
     if not hot.isEmpty():
-        hot = _relabel(hot, found)
+        packed = materialise(hot.groupBy("node").agg(F.min("g").alias("g"), F.min("size").alias("size"), F.collect_list(F.struct("h", "pos", "ord")).alias("at")), "packed")
+        of = _relabel(materialise(packed.select("node", "g"), "of"), found)
         for turn in range(ROUNDS):
-            more = linked(_near(hot, turn))
+            near = materialise(_near(packed, of, turn), "near")
+            more = linked(near)
+            discard(near)
             if more.isEmpty():
                 break
-            found, hot = found.union(more), _relabel(hot, more)
-        found = found.union(linked(_left(hot)))
+            found, of = found.union(more), _relabel(of, more)
+        found = found.union(linked(materialise(_left(hot.drop("g").join(of, "node")), "left")))
+        discard(packed)
     discard(met)
     discard(held)
     return found

@@ -98,3 +98,17 @@ def test_marks_hold_every_node_and_no_other_slot(spark):
     df = spark.createDataFrame([(n,) for n in nodes], "node long").repartition(3)
     assert set(np.flatnonzero(np.unpackbits(near_copies.marked(df))).tolist()) == {n % near_copies.MARKS for n in nodes}
     assert not near_copies.marked(df.limit(0)).any()
+
+
+def test_a_round_takes_each_node_once(spark):
+    """A round took a node as often as it had large groups, 18 times and more for near copies of 100 words."""
+    nodes, groups = 200, 30
+    rows = [(n, 100, [(h, 0, n) for h in range(groups)]) for n in range(nodes)]
+    packed = spark.createDataFrame(rows, "node long, size long, at array<struct<h: long, pos: long, ord: long>>")
+    of = spark.createDataFrame([(n, n) for n in range(nodes)], "node long, g long")
+    met = []
+    for turn in range(3):
+        got = [(r.a, r.b) for r in near_copies._near(packed, of, turn).collect()]
+        assert nodes - 1 <= len(got) <= near_copies.NEAR * nodes  # all in one group: nodes alike go to the same
+        met += got
+    assert len(set(met)) > near_copies.NEAR * nodes  # each round others
