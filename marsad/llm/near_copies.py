@@ -9,8 +9,10 @@
    other pair is lost, whatever its SimHash distance.
 3. Candidates are compared as whole sets; those at ``LEAST`` or more are links.
 4. A group over ``BIG`` rows isn't paired: its rows leave their task as they come, in blocks. A round sends each
-   node to one of its groups, where it meets a few neighbours, while rounds make components one. Then only pairs of different components are
-   left, and those are all compared, block by block, so no link between components is lost.
+   node to one of its groups, where it meets a few neighbours, while rounds make components one. Then groups with
+   several components left are compared as whole sets, block by block, in the task that holds both blocks: an exact
+   product of their shingles. Only links that make two components one leave it, so no link between components is lost,
+   and neither rows moved nor rows made grow with the square of a group (its comparisons do, inside the task).
 5. SimHash components that hold rows of one node, or linked nodes, become one.
 
 Null or blank text is the empty set, equal to itself.
@@ -18,7 +20,7 @@ Null or blank text is the empty set, equal to itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ _CACHE = 1 << 18
 _PAIRS = 1 << 20
 #: Groups over so many rows are not paired at once: rounds of ``NEAR`` neighbours in blocks of so many rows.
 BIG, NEAR, BLOCK, ROUNDS = 64, 3, 512, 6
+#: After the rounds a group is cut into ``CUTS`` blocks, but none under or over so many shingles (1 and 32 MB).
+CUTS, LITTLE, MUCH = 16, 1 << 17, 1 << 22
+#: A product of sets: so many columns at once; a shingle of fewer pairs is counted pair by pair.
+_COLUMNS, _DENSE = 2048, 1536
 #: So many nodes are broadcast (2 MB) to pick their sets.
 FEW = 1 << 18
 
@@ -162,8 +168,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, least: DataFrame) -> DataFrame
     return rows.select("node", "size", "g", F.posexplode("hs").alias("pos", "h"))
 
 
-def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray, g: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by h and size; a row meets the later ones of its group that are not too long and not of its side."""
+def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by h and size; a row meets the later ones of its group that are not too long."""
     n = len(h)
     cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
     end = np.repeat(cut[1:], np.diff(cut))
@@ -180,8 +186,6 @@ def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray,
         b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], m)
         rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
         good = (9 * rest >= 4 * (size[a] + size[b])) & (g[a] != g[b])
-        if side is not None:
-            good &= side[a] != side[b]
         x, y = nodes[a[good]], nodes[b[good]]
         if len(x):
             found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
@@ -190,18 +194,18 @@ def _pairs(h: np.ndarray, nodes: np.ndarray, size: np.ndarray, pos: np.ndarray,
 
 
 def _meet(batches: Iterator[pa.RecordBatch], big: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h and size -> pairs of small groups (h null); rows of groups over ``big`` as they come, numbered in their group."""
+    """Rows sorted by h and size -> pairs of small groups (h null); rows of groups over ``big`` as they come, numbered in their group, with the shingles up to them."""
     names = ("h", "node", "size", "pos", "g")
-    held, hot, seen = None, None, 0
+    held, hot, seen, upto = None, None, 0, 0
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for found in _pairs(*rows):
             none = pa.nulls(found.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*found.columns, *[none] * 4], ["a", "b", "h", "size", "pos", "ord"])
+            yield pa.RecordBatch.from_arrays([*found.columns, *[none] * 5], ["a", "b", "h", "size", "pos", "ord", "upto"])
 
-    def rows_of(x: list[np.ndarray], first: int) -> pa.RecordBatch:
+    def rows_of(x: list[np.ndarray], first: int, before: int) -> pa.RecordBatch:
         h, nodes, size, pos, g = map(pa.array, x)
-        return pa.RecordBatch.from_arrays([nodes, g, h, size, pos, pa.array(np.arange(first, first + len(x[0])))], ["a", "b", "h", "size", "pos", "ord"])
+        return pa.RecordBatch.from_arrays([nodes, g, h, size, pos, pa.array(np.arange(first, first + len(x[0]))), pa.array(before + np.cumsum(x[2]))], ["a", "b", "h", "size", "pos", "ord", "upto"])
 
     for batch in batches:
         now = [batch.column(c).to_numpy().astype(np.int64) for c in names]
@@ -213,9 +217,9 @@ def _meet(batches: Iterator[pa.RecordBatch], big: int) -> Iterator[pa.RecordBatc
         small_, last = np.ones(len(h), bool), int(cut[-2])
         for i in np.flatnonzero((np.diff(cut) > big) | (h[cut[:-1]] == hot if hot is not None else False)).tolist():
             x, y = int(cut[i]), int(cut[i + 1])
-            seen = seen if h[x] == hot else 0
-            yield rows_of([c[x:y] for c in held], seen)
-            hot, seen = h[x], seen + y - x
+            seen, upto = (seen, upto) if h[x] == hot else (0, 0)
+            yield rows_of([c[x:y] for c in held], seen, upto)
+            hot, seen, upto = h[x], seen + y - x, upto + int(held[2][x:y].sum())
             small_[x:y] = False
         done = small_.copy()
         done[last:] = False  # the last group may go on
@@ -267,21 +271,103 @@ def _near(packed: DataFrame, of: DataFrame, turn: int) -> DataFrame:
     return _grouped(rows, ["h", "side"], ["turn"], _neighbours)
 
 
-def _left(hot: DataFrame) -> DataFrame:
-    """Every candidate pair that is still in two components, block of ``BLOCK`` rows by block; blocks within one component go."""
-    hot = hot.withColumn("block", F.floor(F.col("ord") / BLOCK))
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` has in common with each of ``y``: a product of sets, exact."""
+    hx, hy = np.concatenate(x), np.concatenate(y)
+    some = np.intersect1d(hx, hy)
+    total = np.zeros((len(x), len(y)), np.int64)
+    if not len(some):
+        return total
+
+    def entries(h: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin and number of each column's) of entries by column."""
+        row, col = np.repeat(np.arange(len(sets)), [len(v) for v in sets]), np.minimum(np.searchsorted(some, h), len(some) - 1)
+        good = some[col] == h
+        row, col = row[good], col[good]
+        count = np.bincount(col, minlength=len(some))
+        return row[np.argsort(col, kind="stable")], np.cumsum(count) - count, count
+
+    (rx, ax, cx), (ry, ay, cy) = entries(hx, x), entries(hy, y)
+    many = cx * cy
+    dense = np.flatnonzero(many >= _DENSE)
+    for i in range(0, len(dense), _COLUMNS):
+        c = dense[i : i + _COLUMNS]
+        left, right = np.zeros((len(x), len(c)), np.float32), np.zeros((len(y), len(c)), np.float32)
+        for of, r, begin, count in ((left, rx, ax, cx), (right, ry, ay, cy)):
+            n = count[c]
+            of[r[np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], np.repeat(np.arange(len(c)), n)] = 1
+        total += (left @ right.T).astype(np.int64)  # exact: sums of _COLUMNS at most
+    rest = np.flatnonzero(many < _DENSE)
+    upto, i = np.concatenate(([0], np.cumsum(many[rest]))), 0
+    while i < len(rest):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + _PAIRS, "right")) - 1)
+        c, m = rest[i:j], many[rest[i:j]]
+        k, col = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m), np.repeat(c, m)
+        total += np.bincount(rx[ax[col] + k // cy[col]] * len(y) + ry[ay[col] + k % cy[col]], minlength=total.size).reshape(total.shape)
+        i = j
+    return total
+
+
+def _joined(nodes: np.ndarray, g: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of two blocks (or within the only one) that make what all their links make one: fewer than there are components."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((size, block))
+    two = block[order[0]] != block[order[-1]]
+    slices = [some[i : i + BLOCK] for b in np.unique(block) for some in [order[block[order] == b]] for i in range(0, len(some), BLOCK)]
+    g, out = g.copy(), []
+    for i, x in enumerate(slices):
+        for y in slices[i:]:
+            if two and block[x[0]] == block[y[0]] or 4 * max(size[x[0]], size[y[0]]) > 5 * min(size[x[-1]], size[y[-1]]):
+                continue
+            if (g[x] == g[x[0]]).all() and (g[y] == g[x[0]]).all():
+                continue
+            good = (9 * _shared([sets[k] for k in x], [sets[k] for k in y]) >= 4 * (size[x][:, None] + size[y])) & (g[x][:, None] != g[y])
+            for a, b in np.argwhere(good).tolist():
+                p, q = x[a], y[b]
+                if g[p] != g[q]:
+                    out.append((min(nodes[p], nodes[q]), max(nodes[p], nodes[q])))
+                    g[g == g[q]] = g[p]
+    return out
+
+
+def _left(hot: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links that make what all links of ``hot`` make one, block by block; blocks within one component go. ``sets`` has those of nodes."""
+    several = hot.groupBy("h").agg(F.min("g").alias("least"), F.max("g").alias("most"), F.max("upto").alias("total")).filter("least != most")
+    several = several.select("h", F.least(F.greatest(F.col("total") / CUTS, F.lit(LITTLE)), F.lit(MUCH)).alias("per"))
+    hot = materialise(hot.join(several, "h").select("h", "node", "g", "size", F.floor((F.col("upto") - 1) / F.col("per")).alias("block")), "blocks")
     blocks = hot.groupBy("h", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("g").alias("g0"), F.max("g").alias("g1"))
     blocks = materialise(blocks, "blocks")
-    several = blocks.groupBy("h").agg(F.min("g0").alias("least"), F.max("g1").alias("most")).filter("least != most").select("h")
-    blocks = blocks.join(several, "h", "left_semi")
     x, y = blocks.alias("x"), blocks.alias("y")
     apart = ~((F.col("x.g0") == F.col("x.g1")) & (F.col("y.g0") == F.col("y.g1")) & (F.col("x.g0") == F.col("y.g0")))
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") <= F.col("y.block")) & (4 * F.col("y.lo") <= 5 * F.col("x.hi")) & apart)
     both = materialise(both.select(F.col("x.h").alias("h"), F.col("x.block").alias("b1"), F.col("y.block").alias("b2")), "blocks")
     one = hot.join(both.withColumn("block", F.col("b1")), ["h", "block"])
     two = hot.join(both.filter("b1 < b2").withColumn("block", F.col("b2")), ["h", "block"])
-    rows = one.unionByName(two).withColumn("side", F.when(F.col("b1") == F.col("b2"), F.col("node")).otherwise(F.col("block")))
-    return _grouped(rows, ["h", "b1", "b2"], ["size"], _pairs)
+    rows = one.unionByName(two).select(F.xxhash64("h", "b1", "b2").alias("key"), "h", "b1", "b2", "block", "node", "g")
+    rows = rows.join(sets(hot.select("node").distinct()), "node")
+    names = ("h", "b1", "b2", "node", "g", "block")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, found = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            links = _joined(*(np.array([r[i] for r in held], np.int64) for i in range(3)), found) if held else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([int(v[i]) for v in links], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for batch in small(batches):
+            columns = [batch.column(c).to_pylist() for c in names]
+            for i, key in enumerate(zip(*columns[:3], strict=True)):
+                if key != last:
+                    yield from done()
+                    last, held, found = key, [], []
+                held.append((columns[3][i], columns[4][i], columns[5][i]))
+                found.append(np.frombuffer(batch.column("held")[i].as_buffer(), np.uint64))
+        yield from done()
+
+    parts = max(1, int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("h", "b1", "b2")
+    return rows.select(*names, "held").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _relabel(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,9 +383,9 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
     """a, b: links of nodes at ``LEAST`` or more that connect what all such pairs do, with the names of ``least``."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = prefixes(docs, shingle_counts(docs), least).repartition(parts, "h").sortWithinPartitions("h", "size")
-    met = materialise(rows.mapInArrow(lambda batches: _meet(batches, big), "a long, b long, h long, size long, pos long, ord long"), "met")
+    met = materialise(rows.mapInArrow(lambda batches: _meet(batches, big), "a long, b long, h long, size long, pos long, ord long, upto long"), "met")
     pairs = materialise(met.filter("h IS NULL").select("a", "b").distinct(), "candidates")
-    hot = met.filter("h IS NOT NULL").select("h", F.col("a").alias("node"), F.col("b").alias("g"), "size", "pos", "ord")
+    hot = met.filter("h IS NOT NULL").select("h", F.col("a").alias("node"), F.col("b").alias("g"), "size", "pos", "ord", "upto")
     marks = marked(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +409,13 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
 
     held = materialise(docs.select("text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]), "sets")
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # Sets are many times as large as all else here: those that no pair names needn't move.
+        return held.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= FEW else held
+
     def linked(pairs: DataFrame) -> DataFrame:
         nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-        # Sets are many times as large as all else here: those that no pair names needn't move.
-        some = held.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= FEW else held
+        some = sets_of(nodes)
         rows = pairs.join(some.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
         out = materialise(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
         discard(nodes)
@@ -343,7 +432,7 @@ def similar(docs: DataFrame, least: DataFrame, big: int = BIG) -> DataFrame:
             if more.isEmpty():
                 break
             found, of = found.union(more), _relabel(of, more)
-        found = found.union(linked(materialise(_left(hot.drop("g").join(of, "node")), "left")))
+        found = found.union(materialise(_left(hot.drop("g").join(of, "node"), sets_of), "left"))
         discard(packed)
     discard(met)
     discard(held)

@@ -112,3 +112,62 @@ def test_a_round_takes_each_node_once(spark):
         assert nodes - 1 <= len(got) <= near_copies.NEAR * nodes  # all in one group: nodes alike go to the same
         met += got
     assert len(set(met)) > near_copies.NEAR * nodes  # each round others
+
+
+def parts_of(nodes, edges):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        root[find(i)] = find(j)
+    out: dict = {}
+    for i in nodes:
+        out.setdefault(find(i), set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def test_what_the_rounds_leave_is_compared_in_its_task(spark, monkeypatch):
+    """Copies that are hardly alike left their task as pairs, as many as the square of their group."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(250):  # mostly three edits: like few others, but with the same first shingles
+        words = list(base)
+        for _ in range(1 if k < 10 else 3):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    cache: dict = {}
+    least = near_copies.prints(df).selectExpr("node", "node AS least").distinct()
+    sets = {near_copies.node(x): set(x.tolist()) for x in (near_copies.shingles(t, cache) for t in rows)}
+    edges = [(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and 5 * len(x & y) >= 4 * len(x | y)]
+    want, made, left = parts_of(sets, edges), [], near_copies._left
+
+    def counted(*of):
+        out = left(*of)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_left", counted)
+    for little in (1 << 17, 2000):  # one block a group, and many
+        monkeypatch.setattr(near_copies, "LITTLE", little, raising=False)
+        monkeypatch.setattr(near_copies, "ROUNDS", 1)
+        got = {(r.a % 2**64, r.b % 2**64) for r in near_copies.similar(df, least).collect()}
+        assert {frozenset(e) for e in got} <= {frozenset(e) for e in edges}
+        assert parts_of(sets, got) == want
+    assert len(want) > 50 and max(made) < 4 * len(sets)
+
+
+def test_products_of_sets_are_exact():
+    rng = random.Random(4)
+    for columns, dense in ((40, 30), (2048, 10**6), (2048, 1)):  # both ways, and a mixture
+        near_copies._COLUMNS, kept = columns, (near_copies._COLUMNS, near_copies._DENSE)
+        near_copies._DENSE = dense
+        x, y = ([np.array(sorted(rng.sample(range(300), rng.randrange(1, 120))), np.uint64) for _ in range(n)] for n in (13, 7))
+        assert near_copies._shared(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+        near_copies._COLUMNS, near_copies._DENSE = kept
+    assert near_copies._shared([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
