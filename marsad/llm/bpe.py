@@ -377,21 +377,20 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.bytes = 0
         self.flat, self.begin, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _resolve(self, words: pa.Array) -> np.ndarray:
         """Places of distinct words in ``begin`` and ``count``."""
-        keys = words.to_pylist()
-        at = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(at < 0)
-        size = sum(len(keys[i]) for i in new.tolist())
-        if len(self.known) + len(new) > REMEMBERED or self.bytes + size > REMEMBERED_BYTES:
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = words.filter(pa.array(at < 0))
+        if len(self.known) + len(fresh) > REMEMBERED or self.bytes + len(_content(fresh)[1]) > REMEMBERED_BYTES:
             self._forget()
-            new = np.arange(len(keys))
+            at[:], fresh = -1, words
+        new = np.flatnonzero(at < 0)
         if len(new):
-            found = [keys[i] for i in new.tolist()]
+            found = fresh.to_pylist()
             marked = [i for i, w in enumerate(found) if w[:1] == b"\xff"]
             ids, count = self.automaton.words([b"" if w[:1] == b"\xff" else w for w in found])
             begin = len(self.flat) + np.cumsum(count) - count
@@ -399,9 +398,9 @@ class Encoder:
                 begin[marked], count[marked] = len(self.flat) + len(ids) + np.arange(len(marked)), 1
                 ids = np.concatenate((ids, np.array([int(found[i][1:]) for i in marked], np.int32)))
             at[new] = len(self.begin) + np.arange(len(new))
-            self.known.update(zip(found, at[new].tolist(), strict=True))
+            self.known = pa.concat_arrays([self.known, fresh])
             self.flat, self.begin, self.count = (np.concatenate(p) for p in ((self.flat, ids), (self.begin, begin), (self.count, count)))
-            self.bytes += size
+            self.bytes += len(_content(fresh)[1])
         return at
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Retrieval packing: a BM25 inverted index in shards, whose unused neighbours fill a seed's window.
 
-1. Texts are encoded once; ids are written to the shared folder.
+1. Texts are encoded once; ids are written to the shared folder, and with them, in a row of its own, what
+   each task counted.
 2. Document frequencies of terms (token ids) and the mean length are the whole corpus's. The driver
    holds a number for each token of the vocabulary, however long the corpus.
 3. A document is routed by its leading terms, those of the greatest BM25 weight: all documents are
@@ -10,7 +11,8 @@
 4. In a shard (``SHARD_DOCS`` documents or ``SHARD_IDS`` ids) an inverted index answers for each
    seed with all unused documents in order of BM25 score, and they fill its window greedily. A
    document that does not fit whole goes on in the next window and seeds it. A window that has used up
-   a shard goes on in the next one; a task's last window is cut at powers of two, without padding.
+   a shard goes on in the next one; a task's last window is cut at powers of two, without padding. Used
+   documents leave the index whenever they are a quarter of it, which changes no score.
 
 Each document is used exactly once. A seed's list is its shard's: what lies in others is not asked
 for, which keeps the work linear (README has the loss against asking all of them).
@@ -29,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marsad.llm.bpe import encoder
 from marsad.llm.common import materialise, small
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
-#: Terms that route a document.
-LEADING = 4
+#: Terms that route a document, and documents a partition whose terms set the bounds.
+LEADING, BOUND = 4, 128
 END = 1
 
 #: (doc_id, ids with the final one)
@@ -51,22 +54,33 @@ def width(path: str) -> str:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """at (place in the input), doc_id, ids (of ``width``, with the final one)."""
-    kind = width(path)
+    """at (place in the input), doc_id, ids (of ``width``, with the final one); then a row for each task without ids: counts.
+
+    counts: documents with each term, then all documents and ids (little-endian, 64 bits).
+    """
+    kind, vocabulary = width(path), len(encoder(path).automaton.labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, place = encoder(path), TaskContext.get().partitionId() << 36
+        total = np.zeros(vocabulary + 2, "<i8")
+        names_of = ["at", "doc_id", "ids", "counts"]
         for batch in batches:
             names, at = batch.column("doc_id").cast(pa.int64()), 0
             for ids, offsets in e.batch(batch.column("text")):
                 n = len(offsets) - 1
                 ids = np.insert(ids.astype(kind), offsets[1:], END)
-                edges = (offsets + np.arange(n + 1)) * ids.itemsize
-                data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), names.slice(at, n), data.cast(pa.binary())], ["at", "doc_id", "ids"])
+                ends = offsets + np.arange(n + 1)
+                for i in range(0, n, 1024):
+                    some = [ids[a:b] for a, b in zip(ends[i : min(n, i + 1024)].tolist(), ends[i + 1 : i + 1025].tolist(), strict=True)]
+                    total[:-2] += np.bincount(terms_of(some)[1], minlength=vocabulary)
+                total[-2:] += n, len(ids)
+                data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), names.slice(at, n), data.cast(pa.binary()), pa.nulls(n, pa.binary())], names_of)
                 at, place = at + n, place + n
+        if total[-2]:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array([total.tobytes()], pa.binary())], names_of)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "at long, doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "at long, doc_id long, ids binary, counts binary")
 
 
 def terms_of(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,52 +101,70 @@ class Corpus:
     """What BM25 needs of the whole corpus: idf of each term, mean length."""
 
     def __init__(self, df: np.ndarray, n: int, mean: float):
-        self.df, self.mean = df, mean
+        self.df, self.n, self.mean, self.ids = df, n, mean, n * mean
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
     def weight(self, term: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
         return self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / self.mean))
 
 
-def statistics(held: DataFrame, vocabulary: int, kind: str) -> Corpus:
-    """Over all documents; a task sends a row for each term it met, and those are added up by term."""
+def statistics(held: DataFrame, vocabulary: int) -> Corpus:
+    """Over all documents, from the tasks' counts (``encoded``); those are added up by term."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary + 2, np.int64)  # then documents, ids
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary + 2, np.int64)
         for batch in small(batches):
-            ids = _arrays(batch, kind)
-            total[:-2] += np.bincount(terms_of(ids)[1], minlength=vocabulary)
-            total[-2:] += len(ids), sum(map(len, ids))
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), "<i8")
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     total = np.zeros(vocabulary + 2, np.int64)
-    for r in held.select("ids").mapInArrow(count, "term long, n long").groupBy("term").sum("n").collect():
+    for r in held.select("counts").filter("counts IS NOT NULL").mapInArrow(add, "term long, n long").groupBy("term").sum("n").collect():
         total[r[0]] = r[1]
     return Corpus(total[:-2], int(total[-2]), float(total[-1]) / max(1, int(total[-2])))
 
 
 def routed(held: DataFrame, corpus: Corpus, kind: str) -> DataFrame:
-    """``held`` in range partitions by leading terms, sorted."""
+    """``held`` in range partitions by leading terms, sorted. Every row goes to one; a sample sets no more than their bounds."""
+    names = [f"t{r}" for r in range(LEADING)]
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             ids = _arrays(batch, kind)
             doc, term, count = terms_of(ids)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             weight = np.where(corpus.df[term] > 1, corpus.weight(term, count, size[doc]), 0)  # a term of one document finds nobody
-            order = np.lexsort((term, -weight, doc))
-            rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(ids)))[doc[order]]
-            columns = []
-            for r in range(LEADING):
-                at, lead = order[rank == r], np.full(len(ids), -1, np.int32)
-                lead[doc[at]] = np.where(weight[at] > 0, term[at], -1)
-                columns.append(pa.array(lead))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"t{r}" for r in range(LEADING))])
-
-    keys = [f"t{r}" for r in range(LEADING)] + ["at"]
-    rows = held.mapInArrow(lead, "at long, doc_id long, ids binary, " + ", ".join(f"t{r} int" for r in range(LEADING)))
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+            leads, first = [], np.searchsorted(doc, np.arange(len(ids)))
+            for _ in range(LEADING):  # the greatest weight, of equal ones the smaller term; then without it
+                most = np.maximum.reduceat(weight, first)
+                at = np.flatnonzero(weight == most[doc])
+                at = at[np.diff(doc[at], prepend=-1) > 0]
+                leads.append(np.where(most > 0, term[at], -1).astype(np.int32))
+                weight[at] = 0
+            part = np.searchsorted(bounds, _keys(leads, batch.column("at").to_numpy()), "right") if len(bounds) else np.zeros(len(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, leads), pa.array(part.astype(np.int32))], [*batch.schema.names, *names, "part"])
+
+    def with_leads(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+        return rows.mapInArrow(lambda batches: lead(batches, bounds), "at long, doc_id long, ids binary, " + ", ".join(f"{t} int" for t in names) + ", part int")
+
+    parts = max(1, min(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(corpus.ids) * np.dtype(kind).itemsize >> 20))
+    bounds = np.empty(0, "S24")
+    if parts > 1:  # as Spark's own range partitions do, but the terms of all rows are not looked for twice
+        some = held.filter(F.pmod(F.xxhash64("at"), F.lit(max(1, corpus.n // (BOUND * parts)))) == 0)
+        some = np.array(with_leads(some, bounds).select(*names, "at").collect(), np.int64).reshape(-1, LEADING + 1)
+        some = np.sort(_keys(list(some[:, :LEADING].T), some[:, LEADING]))
+        bounds = np.unique(some[[len(some) * p // parts for p in range(1, parts)]]) if len(some) else bounds
+    rows = with_leads(held, bounds).repartitionById(parts, F.col("part"))
+    return rows.sortWithinPartitions(*names, "at").select("doc_id", "ids")
+
+
+def _keys(leads: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Leading terms and place as bytes of the same order."""
+    out = np.empty((len(at), 3), ">u8")
+    out[:, 0], out[:, 1] = ((leads[r].astype(np.int64) + 1) << 32 | leads[r + 1].astype(np.int64) + 1 for r in (0, 2))
+    out[:, 2] = at
+    return out.view("S24").ravel()
 
 
 class Index:
@@ -140,18 +172,33 @@ class Index:
 
     def __init__(self, held: list[np.ndarray], corpus: Corpus):
         doc, term, count = terms_of(held)
-        size = np.fromiter(map(len, held), np.int64, len(held))
+        size, n = np.fromiter(map(len, held), np.int64, len(held)), np.bincount(doc, minlength=len(held))
         order = np.argsort(term, kind="stable")
-        self.doc, term = doc[order], term[order]
-        self.weight = corpus.weight(term, count[order], size[self.doc])
-        self.terms, first = np.unique(term, return_index=True)
-        self.at, self.n = np.append(first, len(term)), len(held)
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 of every document for the distinct terms of ``ids``."""
+        self.doc = doc[order]
+        self.weight = corpus.weight(term[order], count[order], size[self.doc])
+        self.terms, self.slot, many = np.unique(term, return_inverse=True, return_counts=True)
+        self.at, self.upto = np.append(0, np.cumsum(many)), np.append(0, np.cumsum(n))
+        self.n = self.left = len(held)
+
+    def keep(self, free: np.ndarray) -> None:
+        """Postings of documents that are not among ``free`` may go, now that they are used: a quarter of those left at least."""
+        if 4 * len(free) > 3 * self.left:
+            return
+        good = np.zeros(self.n, bool)
+        good[free] = True
+        good = good[self.doc]
+        self.at = np.append(0, np.cumsum(good))[self.at]
+        self.doc, self.weight, self.left = self.doc[good], self.weight[good], len(free)
+
+    def terms_in(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the distinct terms of any ``ids``."""
         found = np.unique(ids)
         where = np.searchsorted(self.terms, found)
-        where = where[(where < len(self.terms)) & (self.terms[np.minimum(where, len(self.terms) - 1)] == found)]
+        return where[(where < len(self.terms)) & (self.terms[np.minimum(where, len(self.terms) - 1)] == found)]
+
+    def scores(self, ids: np.ndarray, which: int | None = None) -> np.ndarray:
+        """BM25 of every document kept for the distinct terms of ``ids``, those of document ``which`` if they are."""
+        where = self.terms_in(ids) if which is None else self.slot[self.upto[which] : self.upto[which + 1]]
         first, size = self.at[where], self.at[where + 1] - self.at[where]
         at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return np.bincount(self.doc[at], self.weight[at], self.n)
@@ -186,6 +233,7 @@ class Windows:
 
     def shard(self, held: list[Doc], corpus: Corpus) -> Iterator[Piece]:
         index, unused, at = Index([x for _, x in held], corpus), np.ones(len(held), bool), 0
+        place = {id(doc): d for d, doc in enumerate(held)}  # a seed may be of another shard
         while True:
             if self.seed is None:
                 while at < len(held) and not unused[at]:
@@ -198,7 +246,8 @@ class Windows:
             free = np.flatnonzero(unused)
             if not len(free):
                 return
-            score, seed = index.scores(self.seed[1])[free], self.seed
+            index.keep(free)
+            score, seed = index.scores(self.seed[1], place.get(id(self.seed)))[free], self.seed
             for d in free[np.argsort(-score, kind="stable")].tolist():
                 unused[d], number = False, self.number
                 yield from self.add(held[d])
@@ -228,8 +277,9 @@ def piece_batch(found: list[Piece]) -> pa.RecordBatch:
 def pieces(docs: DataFrame, path: str, length: int, schema: str) -> DataFrame:
     """One row per piece."""
     kind = width(path)
-    held = materialise(encoded(docs, path), "ids", compression="zstd")
-    corpus = statistics(held, len(encoder(path).automaton.labels), kind)
+    rows = materialise(encoded(docs, path), "ids", compression="zstd")
+    corpus = statistics(rows, len(encoder(path).automaton.labels))
+    held = rows.filter("counts IS NULL").drop("counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, some, size = Windows(length, TaskContext.get().partitionId() << 36), [], 0
