@@ -485,6 +485,14 @@ class Encoder:
         return next(self.many([text]))
 
 
+@lru_cache(2)
+def vocabulary_size(path: str) -> int:
+    """Greatest id and one; the driver needs no automaton for that."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One per worker process."""

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marsad.llm.bpe import encoder
+from marsad.llm.bpe import encoder, vocabulary_size
 from marsad.llm.common import materialise, small
 
 K1, B = 1.2, 0.75
@@ -50,7 +50,7 @@ Piece = tuple[int | None, int, int, int, int, int, int]
 
 def width(path: str) -> str:
     """Type of a stored id: 16 bits if the vocabulary fits, else 32."""
-    return "<u2" if len(encoder(path).automaton.labels) <= 1 << 16 else "<u4"
+    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -58,7 +58,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     counts: documents with each term, then all documents and ids (little-endian, 64 bits).
     """
-    kind, vocabulary = width(path), len(encoder(path).automaton.labels)
+    kind, vocabulary = width(path), vocabulary_size(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, place = encoder(path), TaskContext.get().partitionId() << 36
@@ -278,7 +278,7 @@ def pieces(docs: DataFrame, path: str, length: int, schema: str) -> DataFrame:
     """One row per piece."""
     kind = width(path)
     rows = materialise(encoded(docs, path), "ids", compression="zstd")
-    corpus = statistics(rows, len(encoder(path).automaton.labels))
+    corpus = statistics(rows, vocabulary_size(path))
     held = rows.filter("counts IS NULL").drop("counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,15 @@ def test_rows_are_routed_once_and_in_order(spark):
         want.append(([*first, *[-1] * (retrieval.LEADING - len(first))], at, k))
     assert [r.doc_id for r in got.collect()] == [k for _, _, k in sorted(want)]
     assert sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 1
+
+
+def test_driver_sizes_ids_without_the_automaton(monkeypatch):
+    """The driver built the whole automaton to learn the number of ids."""
+    path = bpe.vocabulary_path()
+    n = len(bpe.encoder(path).automaton.labels)
+
+    def none(path):
+        raise AssertionError
+
+    monkeypatch.setattr(retrieval, "encoder", none)
+    assert retrieval.width(path) == ("<u2" if n <= 1 << 16 else "<u4") and bpe.vocabulary_size(path) == n
