@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from marsad.llm.common import table
+from marsad.llm.common import KEPT, table
 
 #: Bytes of text whose pieces are encoded together.
 TOGETHER = 4 << 20
@@ -495,10 +495,19 @@ def vocabulary_size(path: str) -> int:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
+    """One per worker process, until a task of another kind begins there."""
     return Encoder(path)
 
 
+def _forget() -> bool:
+    held = encoder.cache_info().currsize > 0
+    encoder.cache_clear()
+    return held
+
+
+KEPT.append(_forget)
+
+
 def codec(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded text for every row of ``docs`` (doc_id, text)."""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,27 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Each frees a cache that a worker process keeps from task to task, and says if there was anything in it.
+KEPT: list[Callable[[], bool]] = []
+
+
+def release() -> None:
+    """Give back what earlier tasks left in this worker process: caches, and free memory that allocators hold."""
+    if any([forget() for forget in KEPT]):
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches, so that only some rows at a time are Python objects; empty batches go."""
+    """Slices of Arrow batches, so that only some rows at a time are Python objects; empty batches go.
+
+    Workers are used again by later stages: what such a task has no use for is freed before its first rows.
+    """
+    release()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

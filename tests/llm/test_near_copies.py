@@ -1,9 +1,11 @@
 import random
+import weakref
 
 import numpy as np
 
 import corpus_pipeline as P
-from marsad.llm import near_copies
+from marsad.llm import bpe, near_copies
+from marsad.llm.common import small
 
 
 def jaccard(x, y):
@@ -171,3 +173,13 @@ def test_products_of_sets_are_exact():
         assert near_copies._shared(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
         near_copies._COLUMNS, near_copies._DENSE = kept
     assert near_copies._shared([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
+def test_a_task_frees_what_others_left_in_its_worker():
+    """Workers kept the encoder of the stage before, some 200 MB each, while near_duplicates ran in them."""
+    path = bpe.vocabulary_path()
+    ids = bpe.encoder(path).ids("some words").tolist()
+    left = weakref.ref(bpe.encoder(path))
+    assert not list(small(iter([])))
+    assert left() is None and not bpe.encoder.cache_info().currsize
+    assert bpe.encoder(path).ids("some words").tolist() == ids  # made anew when wanted
